@@ -204,7 +204,7 @@ def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for b in pieces(batches, "text"):
             ids = [x.tolist() for x in m.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, ids), pa.int64(), len(ids)), pa.array([sha(" ".join(map(m.text.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(m.decode(x)) for x in ids], pa.string())],
+                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(m.text.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(m.decode(x)) for x in ids], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
