@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, tiff, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": byte_bpe.query,
+        "op2_tiff_media": tiff.query,
+        "op7_toxicity": toxicity.query,
     }
 
 

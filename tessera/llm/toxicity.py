@@ -55,7 +55,7 @@ class Channel:
         since only tokens that may hide one are decoded."""
         grams, before = Counter(), Counter()
         lines = [(f"\x02\x02{w}\x03", 1 + math.log(n)) for w, n in words.items()]
-        lines += [("\x02\x02" + (f[:-1] if f.endswith("~") else f + "\x03"), 40.0) for f in sought]
+        lines += [("\x02\x02" + (f[:-1] if f.endswith("~") else f + "\x03"), 2000.0) for f in sought]
         for line, weight in lines:
             for i in range(2, len(line)):
                 grams[line[i - 2 : i + 1]] += weight
@@ -68,7 +68,7 @@ class Channel:
         if sign in SEPARATORS:
             return [("", 0.3)]
         if sign in LEET:
-            return [(x, 1.0) for x in LEET[sign]] + [("", 3.0)]
+            return [(x, 1.0) for x in LEET[sign]] + [("", 6.0)]
         folded = _fold(sign)
         if folded == sign:
             return [(sign, 0.0)] if sign.isalpha() else [("", 2.0), (sign, 0.5)]
@@ -92,17 +92,23 @@ class Channel:
         return min((cost + self.cost.get(a + b + "\x03", self.rare), word) for (a, b), (cost, word) in states.items())[1]
 
 
+class _Outline(dict):
+    """For str.translate: each sign's class, or nothing."""
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        letter = "" if sign in SEPARATORS else _fold(LEET.get(sign, sign)[0])
+        self[code] = out = CLASSES.get(letter, letter) if letter.isalpha() else ""
+        return out
+
+
+_CLASS = _Outline()
+_TWICE = re.compile(r"(.)\1+")
+_PLAIN = re.compile(r"(?:([a-z])(?!\1))*\Z").match
+
+
 def outline(token: str) -> str:
-    out, last = [], ""
-    for sign in token:
-        if sign in SEPARATORS:
-            continue
-        letter = _fold(LEET.get(sign, sign)[0])
-        letter = CLASSES.get(letter, letter)
-        if letter != last and letter.isalpha():
-            out.append(letter)
-            last = letter
-    return "".join(out)
+    return _TWICE.sub(r"\1", token.translate(_CLASS))
 
 
 def features(word: str) -> list[str]:
@@ -113,9 +119,12 @@ def features(word: str) -> list[str]:
 class Model:
     def __init__(self, weights: dict[str, float], channel: Channel, curve: tuple[float, float]):
         self.weights, self.channel, self.curve = weights, channel, curve
-        self.words = {outline(f) for f in weights if not f.endswith("~")}
+        self.words = {}
+        for f, w in weights.items():
+            if not f.endswith("~"):
+                self.words[outline(f)] = max(w, self.words.get(outline(f), 0.0))
         self.beginnings = {outline(f[:-1]) for f in weights if f.endswith("~")}
-        self.shortest = min(map(len, self.words | self.beginnings), default=99)
+        self.shortest = min(map(len, [*self.words, *self.beginnings]), default=99)
         self.longest = max(map(len, self.beginnings), default=0)
         self.known: dict[str, float] = {}
 
@@ -137,9 +146,12 @@ class Model:
         word = token.strip(_EDGES)
         if found := self.weigh_plain(word):
             return found
+        if _PLAIN(token):
+            return 0.0
         for form in dict.fromkeys((token, word)):
-            if (restored := self.restore_token(form)) and (found := self.weigh_plain(restored.strip(_EDGES))):
-                return found
+            if restored := self.restore_token(form):  # decoding leaves open whether a letter was doubled
+                if found := self.weigh_plain(restored.strip(_EDGES)) or self.words.get(outline(restored), 0.0):
+                    return found
         return 0.0
 
     def evidence(self, text: str) -> float:
@@ -182,7 +194,7 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def fit(rows: list[tuple[str, int]], least_docs: int = 5, least_odds: float = 2.5) -> Model:
+def fit(rows: list[tuple[str, int]], least_docs: int = 3, least_share: float = 0.02, least_types: int = 4, least_odds: float = 2.5) -> Model:
     """Learns from (text, label) rows; equal texts count once."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     seen = {1: Counter(), 0: Counter()}
@@ -191,13 +203,17 @@ def fit(rows: list[tuple[str, int]], least_docs: int = 5, least_odds: float = 2.
     for text, y in rows:
         own = {w for t in text.lower().split() if (w := t.strip(_EDGES))}
         words.update(w for w in own if w.isalpha() and len(w) < 30)
-        seen[y].update({f for w in own for f in features(w)})
-    weights = {}
-    for f, p in seen[1].items():
-        if p >= least_docs and len(f.rstrip("~")) > 2:
-            odds = math.log((p + 0.5) / (n[1] + 1)) - math.log((seen[0][f] + 0.5) / (n[0] + 1))
-            if odds >= least_odds and p >= 4 * seen[0][f]:
-                weights[f] = round(odds, 6)
+        seen[y].update(own)
+    least = max(least_docs, least_share * n[1])
+    weights = _select(seen[1], seen[0], n, least, least_odds)
+    # a beginning counts by itself where it leads to several words
+    begins, types = {1: Counter(), 0: Counter()}, Counter()
+    for f in seen[1]:
+        types.update(features(f)[1:])
+    for text, y in rows:
+        own = {w for t in text.lower().split() if (w := t.strip(_EDGES))}
+        begins[y].update({f for w in own for f in features(w)[1:] if types[f] >= least_types})
+    weights |= _select(begins[1], begins[0], n, least, least_odds)
     frequent = Counter(dict(words.most_common(100_000)))
     model = Model(weights, Channel(frequent, sorted(weights)), (0.0, 0.0))
     x = np.log1p(np.array([model.evidence(t) for t, _ in rows] or [0.0]))
@@ -214,7 +230,18 @@ def fit(rows: list[tuple[str, int]], least_docs: int = 5, least_odds: float = 2.
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> list[tuple[str, int]]:
+def _select(pos: Counter, neg: Counter, n: Counter, least: float, least_odds: float) -> dict[str, float]:
+    """Log odds of the features that toxic rows have far more often."""
+    out = {}
+    for f, p in pos.items():
+        if p >= least and len(f.rstrip("~")) > 2:
+            odds = math.log((p + 0.5) / (n[1] + 1)) - math.log((neg[f] + 0.5) / (n[0] + 1))
+            if odds >= least_odds and p >= 4 * neg[f]:
+                out[f] = round(odds, 6)
+    return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> list[tuple[str, int]]:
     """Labelled rows outside the held-out third: the `max_rows` with the smallest hashes of the id."""
     mine = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     mine = mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
