@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, tiff, toxicity
+from . import byte_bpe, html_extract, ngram_join, suffix_dedup, tiff, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": byte_bpe.query,
         "op2_tiff_media": tiff.query,
+        "op6_ngram_join": ngram_join.query,
         "op7_toxicity": toxicity.query,
+        "op8_html_extract": html_extract.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
