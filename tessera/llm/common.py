@@ -145,3 +145,14 @@ def salted_rank(spark: SparkSession, df: DataFrame, keys: list[str], order: list
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return salted.withColumn("__r", inner).join(shifts, same).withColumn(out, (F.col("__r") + F.col("__before")).cast("long")).drop("__salt", "__s", "__r", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
+def ordered_rank(scratch: Scratch, df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds `out`: the row's place (from 0) in the whole order, by a range partitioning and the sizes of its parts."""
+    from pyspark.sql import Window as W
+
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch.write(parts.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return placed.join(before, "__p").withColumn(out, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, ngram_join, suffix_dedup, tiff, toxicity
+from . import ann, byte_bpe, html_extract, mixing, ngram_join, sharding, suffix_dedup, tiff, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": byte_bpe.query,
         "op2_tiff_media": tiff.query,
+        "op3_kmeans_tree": ann.query,
+        "op4_label_propagation": sharding.query,
+        "op5_source_mixing": mixing.query,
         "op6_ngram_join": ngram_join.query,
         "op7_toxicity": toxicity.query,
         "op8_html_extract": html_extract.query,
