@@ -195,21 +195,19 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every row, then decodes the ids, in one pass."""
+def digest(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes every row, then decodes the ids, in one pass."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary, pattern)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for b in pieces(batches, "text"):
             ids = [x.tolist() for x in m.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(m.text.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(m.decode(x)) for x in ids], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(m.text.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(m.decode(x)) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def merge_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 4096) -> DataFrame:

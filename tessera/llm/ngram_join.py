@@ -284,5 +284,17 @@ def join(docs: DataFrame, **how) -> DataFrame:
     return Join(docs, **how).run()
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The documents of which each group keeps the one with the smallest id; texts without words all stay.
+
+    Rows equal in id and text stay once.
+    """
+    found = join(docs, **how)
+    kept = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if again else out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

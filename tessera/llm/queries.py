@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, html_extract, mixing, ngram_join, sharding, suffix_dedup, tiff, toxicity
+from . import ann, byte_bpe, html_extract, line_dedup, mixing, ngram_join, sharding, suffix_dedup, tiff, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_join": ngram_join.query,
         "op7_toxicity": toxicity.query,
         "op8_html_extract": html_extract.query,
+        "op9_line_winnowing": line_dedup.query,
         "op10_suffix_dedup": suffix_dedup.query,
     }
 
