@@ -29,7 +29,7 @@ from .common import Rolling, Scratch, flat, mix64, pieces, table
 
 PIECE = 64
 #: Bytes of stretches in a shard, and different stretches of one piece beyond which it is spread.
-SHARD_BYTES, SPREAD = 1_500_000, 2_000
+SHARD_BYTES, SPREAD = 1_500_000, 6_000
 
 _ROLLING = Rolling(10)
 _POSITION = np.uint64((1 << 30) - 1)
@@ -78,18 +78,17 @@ def ranks(data: np.ndarray, depth: int) -> dict[int, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    out, rank, active = {}, np.zeros(n, np.int64), np.arange(n)
+    out, rank, active = {}, np.zeros(n, np.int32), np.arange(n, dtype=np.int32)  # shards stay far below 2**31 bytes
     order = np.argsort(key, kind="stable")
     rank[order] = _heads(key[order])
     h = 8
     out[h] = rank
     while h < depth:
-        sizes = np.bincount(rank[active], minlength=n)
-        active = active[sizes[rank[active]] > 1]  # the others keep their places for good
+        active = active[np.bincount(rank[active], minlength=n)[rank[active]] > 1]  # the others keep their places for good
         rank = rank.copy()
         if len(active):
             after = np.where(active + h < n, out[h][np.minimum(active + h, n - 1)] + 1, 0)
-            key = out[h][active] * (n + 1) + after
+            key = out[h][active].astype(np.int64) * (n + 1) + after
             order = np.argsort(key, kind="stable")
             sorted_ = key[order]
             head = _heads(sorted_)
