@@ -159,13 +159,15 @@ def _similar(a: Column, b: Column, overlap: Column, share: int) -> Column:
 
 
 def _close(na: Column, nb: Column, pa_: Column, pb: Column, share: int) -> Column:
-    """Length filter, and the positional one: what two sets can share from the given places on."""
-    most = F.least(na - pa_, nb - pb) + F.least(pa_, pb)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * share) & _similar(na, nb, most, share)
+    """Length filter, and the positional one: what two sets can share from the given places on.
+
+    Similar sets pass at the first shingle that their prefixes share, where nothing is shared before.
+    """
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * share) & _similar(na, nb, F.least(na - pa_, nb - pb), share)
 
 
 class Join:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, share: int = 90, most_rounds: int = 8):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, share: int = 90, most_rounds: int = 4):
         self.docs, self.id, self.text, self.k, self.share, self.most_rounds = docs, id_col, text_col, k, share, most_rounds
         self.spark = docs.sparkSession
         self.scratch, self.done = Scratch(self.spark, "ngram"), []
@@ -177,8 +179,11 @@ class Join:
         rows = scratch.write(profiles(self.docs, self.id, self.text, self.k, self.share, counts))
         classes = scratch.write(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")))
         members = classes.select(F.col("k1").alias("c"), "n", F.posexplode("prefix").alias("pos", "key"))
-        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("pivot")).filter("m > 1")
-        members = scratch.write(members.join(shared.select("key"), "key"))
+        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1").drop("m")
+        # no partner is smaller than the smallest set under the shingle, or than the length filter lets pass
+        partner = F.greatest("least", F.ceil(F.col("n") * self.share / 100))
+        members = members.join(shared, "key").filter(_similar(F.col("n"), partner, F.col("n") - F.col("pos"), self.share)).drop("least")
+        members = scratch.write(members)
         signatures = classes.select("k1", "n", "signature")
         owners = None  # (c, component) of linked classes
         links = None
@@ -214,8 +219,12 @@ class Join:
         return full.select(F.col("id").alias(self.id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
     def _pivots(self, now: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each shingle's chosen class with the classes of other components under it."""
-        order = F.struct(*([F.xxhash64("component", F.lit(turn)).alias("h"), F.xxhash64("c", F.lit(turn)).alias("g")] if turn else []), "c", "n", "pos", "component")
+        """Pairs of each shingle's chosen class with the classes of other components under it.
+
+        The choice falls on the class with the fewest rarer shingles, of some component: copies with few changes are
+        near to most others.
+        """
+        order = F.struct(*([F.xxhash64("component", F.lit(turn)).alias("h")] if turn else []), "pos", "c", "n", "component")
         chosen = now.groupBy("key").agg(F.min(order).alias("p"))
         both = now.join(chosen, "key").filter((F.col("c") != F.col("p.c")) & (F.col("component") != F.col("p.component")))
         both = both.filter(_close(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), self.share))
