@@ -31,6 +31,7 @@ from .graph import components
 SLOTS = 20  # bits of a counter's number
 PARTS = 16  # rows in which a task hands over its counters
 SIGNATURE = 16  # longs of a signature
+KEY = 44  # bits of a prefix shingle's hash; unequal shingles that share them make a candidate, which is verified
 SEEN = 24  # bits of the filter that picks the rows whose sets are needed
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -144,7 +145,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, share: int, co
             keys = [pa.array(_key(values, n, salt)) for salt in _SALTS]
             take = np.where(n > 0, n - _needed(n, share) + 1, 0)
             inside = np.arange(len(values)) - np.repeat(begins, n) < np.repeat(take, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(values[inside].view(np.int64)))
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array((values[inside] >> np.uint64(64 - KEY)).astype(np.int64)))
             bits = np.zeros((b.num_rows, SIGNATURE * 64), np.uint8)
             np.bitwise_xor.at(bits, (rows, (mix64(values) >> np.uint64(54)).astype(np.int64)), 1)
             signature = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * SIGNATURE, pa.int32()), pa.array(np.packbits(bits, axis=1).view(np.int64).reshape(-1)))
@@ -177,14 +178,14 @@ class Join:
         spark, scratch = self.spark, self.scratch
         counts = spark.sparkContext.broadcast(counters(self.docs, self.text, self.k))
         rows = scratch.write(profiles(self.docs, self.id, self.text, self.k, self.share, counts))
-        classes = scratch.write(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")))
-        members = classes.select(F.col("k1").alias("c"), "n", F.posexplode("prefix").alias("pos", "key"))
+        classes = scratch.write(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")).withColumn("c", F.monotonically_increasing_id()))
+        members = classes.select("c", "n", F.posexplode("prefix").alias("pos", "key"))
         shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1").drop("m")
         # no partner is smaller than the smallest set under the shingle, or than the length filter lets pass
         partner = F.greatest("least", F.ceil(F.col("n") * self.share / 100))
         members = members.join(shared, "key").filter(_similar(F.col("n"), partner, F.col("n") - F.col("pos"), self.share)).drop("least")
         members = scratch.write(members)
-        signatures = classes.select("k1", "n", "signature")
+        signatures = classes.select("c", "k1", "n", "signature")
         owners = None  # (c, component) of linked classes
         links = None
         for turn in range(self.most_rounds + 1):
@@ -206,15 +207,15 @@ class Join:
             owners = scratch.write(components(scratch, links))
             if last:
                 break
-        groups = classes.select("k1", "k2", "n", "rep")
+        groups = classes.select("c", "k1", "k2", "n", "rep")
         if owners is None:
             labelled = groups.withColumn("component_id", F.col("rep")).withColumn("n_links", F.lit(0).cast("long"))
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-            known = groups.join(owners, groups.k1 == owners.id).drop("id")
+            known = groups.join(owners, groups.c == owners.id).drop("id")
             least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-            known = known.join(least, "component").join(degree, F.col("k1") == degree.id).select("k1", "k2", "n", "component_id", "n_links")
-            labelled = groups.join(known, ["k1", "k2", "n"], "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+            known = known.join(least, "component").join(degree, F.col("c") == degree.id).select("c", "component_id", "n_links")
+            labelled = groups.join(known, "c", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         full = rows.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
         return full.select(F.col("id").alias(self.id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -243,7 +244,7 @@ class Join:
     def _verified(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         """The pairs that are links, by their whole sets; none is looked at twice."""
         scratch, share = self.scratch, self.share
-        side = lambda x: signatures.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+        side = lambda x: signatures.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         # |a - b| + |b - a| is apart at least, so twice the overlap is na + nb - apart at most
         near = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("na") + F.col("nb") - apart) * 100 >= (F.col("na") + F.col("nb") + apart) * share)
@@ -252,7 +253,7 @@ class Join:
             near = near.join(before.select("a", "b"), ["a", "b"], "left_anti")
         near = scratch.write(near)
         self.done.append(near)
-        sets = self._sets(near.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        sets = self._sets(near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(signatures.select("c", "k1"), "c"))
         overlap = F.size(F.array_intersect("xa", "xb")).cast("long")
         whole = near.join(sets.select(F.col("c").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("xb")), "b")
         out = scratch.write(whole.filter(_similar(F.col("na"), F.col("nb"), overlap, share)).select("a", "b"))
@@ -260,12 +261,12 @@ class Join:
         return out
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """(c, set) of the wanted classes, from the texts.
+        """(c, set) of the wanted classes (c, k1), from the texts.
 
         A filter of 2**SEEN bits picks the rows, a task hands over each class once, and the join drops what passed by
         chance.
         """
-        bit = F.shiftrightunsigned("c", 64 - SEEN) + 1
+        bit = F.shiftrightunsigned("k1", 64 - SEEN) + 1
         buckets = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
         seen = np.zeros((1 << SEEN) // 8, np.uint8)
         for bucket, bits in buckets:
@@ -283,10 +284,10 @@ class Join:
                 hit = np.flatnonzero((n > 0) & ((picked.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)).tolist()
                 out = [i for i in hit if not (keys[i] in given or given.add(keys[i]))]
                 sets = [values[ends[i] - n[i] : ends[i]].view(np.int64) for i in out]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(sets, pa.list_(pa.int64()))], ["c", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(sets, pa.list_(pa.int64()))], ["k1", "set"])
 
-        sets = self.docs.select(F.col(self.text).alias("t")).mapInArrow(run, "c long, set array<long>")
-        return self.scratch.write(sets.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("set").alias("set")))
+        sets = self.docs.select(F.col(self.text).alias("t")).mapInArrow(run, "k1 long, set array<long>")
+        return self.scratch.write(sets.join(wanted, "k1").groupBy("c").agg(F.first("set").alias("set")))
 
 
 def join(docs: DataFrame, **how) -> DataFrame:
