@@ -77,8 +77,9 @@ class Propagation:
             held = state.filter("part is not null").groupBy("part", "aim", "shard").agg(F.count(F.lit(1)).alias("m"))
             most = F.max_by("shard", F.struct("m", F.xxhash64("part", "shard")))
             wants = held.groupBy("part").agg(F.coalesce(F.first("aim"), most).alias("want"))
-            asked = state.join(wants, "part", "left").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want")))
-            asked = scratch.write(asked)
+            linked = state.filter("part is not null").join(wants, "part", "left").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want")))
+            free = state.filter("part is null").withColumn("want", F.lit(None).cast("int"))
+            asked = scratch.write(linked.unionByName(free))
             counts = asked.filter("part is null or want is not null").groupBy("shard", F.coalesce("want", F.lit(-1)).alias("want")).agg(F.count(F.lit(1))).collect()
             wishes = {(i, j): c for i, j, c in counts if j >= 0}
             granted, ends = grants(wishes, {i: c for i, j, c in counts if j < 0}, shards)
