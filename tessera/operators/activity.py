@@ -128,3 +128,35 @@ def sessions(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """(key, start, end, n): runs of events with gaps below the given seconds (a timer that each event sets anew)."""
     w = F.session_window(ts, f"{seconds} seconds")
     return events.groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("end")).select(key, F.col("w.start").alias("start"), "end", "n")
+
+
+def store_memory(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """Rows (content, type, ...) with a checksum and counters; an unknown type fails the query."""
+    known = F.col("type").isin(kinds)
+    kept = rows.withColumn("type", F.when(known, F.col("type")).otherwise(F.raise_error(F.concat(F.lit("unknown memory type: "), F.coalesce("type", F.lit("null"))))))
+    return kept.withColumn("checksum", F.sha2("content", 256)).withColumn("version", F.lit(1)).withColumn("access_count", F.lit(0).cast("long"))
+
+
+def coherence(positions: DataFrame, vector: str) -> DataFrame:
+    """One row: agents, and the mean cosine of all pairs, from the sum of unit vectors (no pairs are made).
+
+    The definition is this engine's own.
+    """
+    unit = positions.filter(norm(F.col(vector)) > 0).select(F.monotonically_increasing_id().alias("i"), F.transform(vector, lambda x: x / norm(F.col(vector))).alias("u"))
+    sums = unit.select(F.posexplode("u").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+    n = unit.agg(F.count(F.lit(1)).alias("agents"))
+    return n.crossJoin(F.broadcast(sums)).select("agents", F.when(F.col("agents") > 1, (F.col("q") - F.col("agents")) / (F.col("agents") * (F.col("agents") - 1))).alias("coherence"))
+
+
+def rounds(entries: DataFrame, key: str, number: str, agent: str, content: str) -> DataFrame:
+    """(key, number, entries, participants): contributions by round in order of agents, upper-cased, first seen first."""
+    e = F.sort_array(F.collect_list(F.struct("seq", F.upper(agent).alias("agent"), F.col(content).alias("content"))))
+    out = entries.groupBy(key, number).agg(e.alias("entries"))
+    return out.withColumn("participants", F.array_distinct(F.transform("entries", lambda x: x["agent"])))
+
+
+def payload_fields(rows: DataFrame, payload: str) -> DataFrame:
+    """path, text and score of a remote hit's JSON payload, whose fields go by several names."""
+    first = lambda *paths: F.coalesce(*[F.get_json_object(payload, p) for p in paths])
+    node = F.get_json_object(payload, "$._node_content")
+    return rows.withColumns({"path": first("$.file_path", "$.path", "$.source"), "text": F.coalesce(first("$.text", "$.content"), F.get_json_object(node, "$.text")), "score": F.round(first("$.score").cast("double"), 4)})

@@ -101,3 +101,27 @@ def boost(complexity_: Column, called_by: Column, blocked: Column, open_: Column
     """The product of the boosts that apply."""
     pick = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x).otherwise(1.0)
     return pick(complexity_ > 5, 1.5) * pick(called_by > 5, 1.8) * pick(blocked, 3.0) * pick(open_, 2.5) * pick(root, 3.0) * pick((confidence > 0.3) & (confidence < 0.7), 1.8)
+
+
+def node_id(name: Column) -> Column:
+    """A stable 64-bit number without sign, from the first 16 hex digits of SHA-256."""
+    return F.conv(F.substring(F.sha2(name, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def validation(nodes: DataFrame, related: DataFrame) -> DataFrame:
+    """One row: nodes, relations, those between known nodes, and nodes without any."""
+    known = nodes.select("id").distinct()
+    inner = related.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    used = inner.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    counts = [known.agg(F.count(F.lit(1)).alias("nodes")), related.agg(F.count(F.lit(1)).alias("relations")), inner.agg(F.count(F.lit(1)).alias("inner")), known.join(used, "id", "left_anti").agg(F.count(F.lit(1)).alias("alone"))]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.crossJoin(F.broadcast(c))
+    return out
+
+
+def embed_text(nodes: DataFrame, edges: DataFrame, most_calls: int = 10, code: int = 500) -> DataFrame:
+    """(id, embed_text): type and name, the beginning of the code, and the first calls by name."""
+    calls = edges.filter("type = 'CALLS'").groupBy(F.col("from").alias("id")).agg(F.slice(F.array_sort(F.collect_set("to")), 1, most_calls).alias("calls"))
+    line = F.when(F.size("calls") > 0, F.concat(F.lit("Calls: "), F.array_join("calls", ", ")))
+    return nodes.join(calls, "id", "left").select("id", F.concat_ws("\n", F.concat_ws(" ", "type", "name"), F.substring("code", 1, code), line).alias("embed_text"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bloom_bits
 from ..operators import activity, keyword, reasoning
 from ..operators.vector import top_k
 from ..sources.rules import excluded
@@ -168,16 +167,12 @@ def ignore_filter(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").filter(~excluded(path, ["# comment", "", "!kept", "m.*", "*/fr/*", "th*.example.net/*", "de"])).select("page_id")
 
 
-def bloom_check(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", bloom_bits(F.col("text")).alias("bits"))
-
-
 def orders_by_agent_day(spark, sf):
     """Appended rows by agent and day, as a partitioned sink would hold them."""
     return _events(spark, sf).groupBy((F.col("user_id") % 5).alias("agent"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, metrics_snapshot, agent_stats, last_n_samples, memory_votes, memory_archive, memory_stats, memory_query, access_count, handoffs, recent_search, session_messages, hot_buffer, recent_ingestions, archive_session, debounce_sessions, grid_velocity_ema, grid_nearby, grid_proximity, grid_stats, grid_pca, reason_vector, reason_text, ignore_filter, bloom_check, orders_by_agent_day)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, metrics_snapshot, agent_stats, last_n_samples, memory_votes, memory_archive, memory_stats, memory_query, access_count, handoffs, recent_search, session_messages, hot_buffer, recent_ingestions, archive_session, debounce_sessions, grid_velocity_ema, grid_nearby, grid_proximity, grid_stats, grid_pca, reason_vector, reason_text, ignore_filter, orders_by_agent_day)}
 
 _M = "m AS (SELECT event_id AS id, CASE WHEN event_type = 'signup' THEN 'handoff' ELSE event_type END AS type, CASE WHEN event_id % 2 = 0 THEN 'working' ELSE 'archival' END AS tier, ts, 'u' || (user_id % 5) AS \"to\" FROM events)"
 _T = "t AS (SELECT *, conv_id * 1000 + turn AS seq FROM conversations), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY seq DESC) AS n FROM t) WHERE n <= 100)"
