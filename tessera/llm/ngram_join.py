@@ -30,6 +30,7 @@ from .graph import components
 
 SLOTS = 20  # bits of a counter's number
 PARTS = 16  # rows in which a task hands over its counters
+FAN_IN = 16  # tasks whose counters one task sums
 SIGNATURE = 16  # longs of a signature
 KEY = 44  # bits of a prefix shingle's hash; unequal shingles that share them make a candidate, which is verified
 SEEN = 24  # bits of the filter that picks the rows whose sets are needed
@@ -106,8 +107,11 @@ def counters(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     kind = "part int, counts binary"
     each = docs.select(F.col(text_col).alias("t")).mapInArrow(count, kind)
-    # n tasks' counters meet in about n ** 0.5 tasks, which sum them batch by batch, and those on the driver
-    some = each.repartition(1 + int(docs.rdd.getNumPartitions() ** 0.5)).mapInArrow(add, kind)
+    n = docs.rdd.getNumPartitions()
+    while n > FAN_IN:  # a tree of sums, so that a task reads FAN_IN tasks' counters at most
+        n = -(-n // FAN_IN)
+        each = each.repartition(n).mapInArrow(add, kind)
+    some = each.repartition(PARTS, "part").mapInArrow(add, kind)
     out = np.zeros((PARTS, size), np.int64)
     for part, raw in some.collect():
         out[part] += np.frombuffer(zlib.decompress(bytes(raw)), np.uint32)
