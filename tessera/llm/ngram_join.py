@@ -208,7 +208,8 @@ class Join:
             pairs = self._between(now) if last else self._pivots(now, turn)
             new = self._verified(pairs, signatures)
             links = new if links is None else scratch.write(links.union(new).distinct())
-            owners = scratch.write(components(scratch, links))
+            if owners is None or new.limit(1).count():
+                owners = scratch.write(components(scratch, links))
             if last:
                 break
         groups = classes.select("c", "k1", "k2", "n", "rep")
