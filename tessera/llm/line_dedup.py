@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, min_words: int, window: int) -> DataFrame:
 
 def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> DataFrame:
     """(id, key, gone): numbers of the lines to delete."""
-    prints = fingerprints(docs.distinct(), min_words, window)
+    prints = fingerprints(docs, min_words, window)  # those of equal rows share their place, so none deletes another
     lines = F.slice("at", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, F.col("n") + F.size("back") + F.size("ahead"))
     prints = scratch.write(prints.select("id", "key", "p", "n", "g", "back", "ahead", lines.alias("lines")))
     place = F.struct("id", "key", "p")
