@@ -28,6 +28,12 @@ def _places(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _computed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns, each computed once for a row: Spark would repeat an expression for each element of a lambda that
+    refers to it, but not what a generator has put out."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _equal_run(a: Column, b: Column) -> Column:
     """How many leading elements are equal."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -38,15 +44,16 @@ def _equal_run(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, min_words: int, window: int) -> DataFrame:
     """id, key (hash of the text), line (of the gram's first line), and g, n, back, ahead of every fingerprint."""
     lines = F.split("text", "\n")
-    base = docs.select(F.col("id"), F.xxhash64("text").alias("key"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"[\x09-\x0D]", " ")).alias("x"))).alias("all"))
-    base = base.withColumn("all", F.filter("all", lambda s: s["x"] != ""))
-    base = base.select("id", "key", F.transform("all", lambda s: s["i"]).alias("at"), F.transform("all", lambda s: F.xxhash64(s["x"])).alias("h"), F.transform("all", lambda s: F.regexp_count(s["x"], F.lit(WORD))).alias("w"))
+    all_ = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"[\x09-\x0D]", " ")).alias("x")))
+    base = _computed(docs, "id", F.xxhash64("text").alias("key"), F.filter(all_, lambda s: s["x"] != "").alias("all"))
+    base = _computed(base, "id", "key", F.transform("all", lambda s: s["i"]).alias("at"), F.transform("all", lambda s: F.xxhash64(s["x"])).alias("h"), F.transform("all", lambda s: F.regexp_count(s["x"], F.lit(WORD))).alias("w"))
     none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
     grow = lambda s, c: F.when(s["sum"] >= min_words, s).otherwise(F.struct((s["sum"] + c).alias("sum"), (s["n"] + 1).alias("n")))
     end = lambda s: F.when(s["sum"] >= min_words, s["n"])
-    base = base.withColumn("n", F.transform(_places(F.col("h")), lambda i: F.aggregate(F.slice("w", i + 1, F.lit(min_words)), none, grow, end)))
+    n = F.transform(_places(F.col("h")), lambda i: F.aggregate(F.slice("w", i + 1, F.lit(min_words)), none, grow, end))
+    base = _computed(base, "id", "key", "at", "h", n.alias("n"))
     grams = F.filter(F.transform("n", lambda n, i: F.struct(F.xxhash64(F.slice("h", i + 1, F.coalesce(n, F.lit(0)))).alias("g"), (-i).alias("i"), n.alias("n"))), lambda s: s["n"].isNotNull())
-    base = base.withColumn("grams", grams).filter(F.size("grams") > 0)  # grams are a prefix of the lines
+    base = _computed(base, "id", "key", "at", "h", "n", grams.alias("grams")).filter(F.size("grams") > 0)  # grams begin at the first lines
     windows = F.sequence(F.lit(1), F.greatest(F.size("grams") - (window - 1), F.lit(1)))
     least = F.transform(windows, lambda j: F.array_min(F.slice("grams", j, F.lit(window))))
     chosen = F.array_distinct(F.concat(least, F.filter("grams", lambda s: s["n"] == 1)))
@@ -80,7 +87,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     found = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
     both = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__key"]), "left")
     lines = F.split(docs[text_col], "\n")
-    kept = F.transform(F.array_sort(F.array_except(_places(lines), F.col("__gone"))), lambda i: F.get(lines, i))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
     count = F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines))
     return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], count.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
