@@ -30,7 +30,7 @@ from .common import pieces, table
 
 LONG_WORD = 48
 #: Distinct words in each of two generations that a worker remembers; forgetting costs time only.
-MEMORY = 250_000
+MEMORY = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +56,7 @@ class Merges:
         self.known: dict[str, bytes] = {}  # bytes, since the garbage collector need not walk them
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = 4 + int(len(keys)).bit_length()
+        self.bits = 2 + int(len(keys)).bit_length()
         self.keys, self.values, self.probes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
         left = np.arange(len(keys))
         while len(left):  # every key takes the first free slot after its own

@@ -36,7 +36,8 @@ CLASSES = {"l": "i", "z": "s"}
 SEPARATORS = ".-_*~'`^\"#/\\,;: ​‌‍﻿­"
 
 PREFIXES = (4, 5, 6, 7)
-MEMORY = 300_000
+#: Tokens whose weight a worker remembers; forgetting costs time only.
+MEMORY = 150_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S(?!\S)|[.\-_*]\S(?=[ .\-_*]|$)){2,}")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”‘’¿¡*#%&$@~-_…|/\\=+^`"
@@ -258,6 +259,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
+        model.known.clear()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -273,6 +275,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         for b in pieces(batches, text):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             yield b.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
+        model.known.clear()  # a worker lives on after its task
 
     return given.mapInArrow(run, given.schema).toDF(*names)
 
