@@ -24,8 +24,8 @@ def test_keywords_end_at_letters_of_any_script(spark):
 
 
 def test_bm25_public_form(spark):
-    docs = spark.createDataFrame([("doc1", "halo gpu particles"), ("doc2", "memory store agents"), ("doc3", "particle count thresholds"), ("doc4", "the a")], "id string, text string")
-    asked = spark.createDataFrame([(0, "halo gpu halo")], "query_id long, text string")
+    docs = spark.createDataFrame([("doc1", "disk gpu particles"), ("doc2", "memory store agents"), ("doc3", "particle count thresholds"), ("doc4", "the a")], "id string, text string")
+    asked = spark.createDataFrame([(0, "disk gpu disk")], "query_id long, text string")
     index = keyword.build(docs, "id", "text")
     assert index.stats.first()["n_docs"] == 3
     (hit,) = keyword.search(index, asked).collect()
