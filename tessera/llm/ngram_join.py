@@ -9,7 +9,9 @@ and are verified once on their whole sets.
 A shingle that many classes share would make pairs with the square of their number. So the pairs of every shingle are
 first those with its smallest class alone; links found so join components, and later rounds pair a new class of each
 shingle only with classes of other components. When few pairs are left between components, all of them are verified.
-No link between different components can stay unseen, hence components are exact; links within one need not be listed.
+No link between different components can stay unseen, hence components are exact. Every link lies within a component,
+so where the rounds have not listed all pairs of one, its classes are then compared with each other, all of them, in
+blocks that meet pairwise: n_links counts every link.
 
 Null, empty and blank texts have empty sets, and are linked with nothing. Equal rows are in one class. Null ids take no
 part as component ids unless a component has no other. Only the id and text columns are read.
@@ -34,6 +36,9 @@ FAN_IN = 16  # tasks whose counters one task sums
 SIGNATURE = 16  # longs of a signature
 KEY = 44  # bits of a prefix shingle's hash; unequal shingles that share them make a candidate, which is verified
 SEEN = 24  # bits of the filter that picks the rows whose sets are needed
+BLOCK = 256  # classes of a block, as long as their sets
+WEIGHT = 1 << 18  # hold no more shingles than this
+COLUMNS = 2048  # shingles whose sharing is counted at a time
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -171,14 +176,59 @@ def _close(na: Column, nb: Column, pa_: Column, pb: Column, share: int) -> Colum
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * share) & _similar(na, nb, F.least(na - pa_, nb - pb), share)
 
 
+def _overlaps(values: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left rows' sets with the right ones'; the sets lie end to end, n values each."""
+    row = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, (wide, column) = row[shared], np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, len(wide), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(n), min(COLUMNS, len(wide) - start)), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _links_within(given: pa.Table, share: int) -> pa.Table:
+    """(c, n_links) from pairs of blocks (component, x, y); `mine` is the block of a row, x or y."""
+    component, x, y, mine, c, n = (given.column(name).to_numpy() for name in ("component", "x", "y", "mine", "c", "n"))
+    sets = given.column("set").combine_chunks()
+    values, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+    links = np.zeros(len(c), np.int64)
+    order = np.lexsort((mine, y, x, component))
+    new = (np.diff(component[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    for at in np.split(order, np.flatnonzero(new) + 1):
+        left = np.flatnonzero(mine[at] == x[at])
+        same = x[at[0]] == y[at[0]]
+        right = left if same else np.flatnonzero(mine[at] != x[at])
+        if not len(left) or not len(right):
+            continue
+        own = n[at]
+        overlap = _overlaps(np.concatenate([values[offsets[i] : offsets[i + 1]] for i in at]), own, left, right)
+        similar = overlap * 100 >= (own[left][:, None] + own[right][None] - overlap) * share
+        if same:
+            np.fill_diagonal(similar, False)
+        else:
+            links[at[right]] += similar.sum(0)
+        links[at[left]] += similar.sum(1)
+    return pa.table({"c": c, "n_links": links})
+
+
 class Join:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, share: int = 90, most_rounds: int = 4):
         self.docs, self.id, self.text, self.k, self.share, self.most_rounds = docs, id_col, text_col, k, share, most_rounds
         self.spark = docs.sparkSession
         self.scratch, self.done = Scratch(self.spark, "ngram"), []
 
-    def run(self) -> DataFrame:
-        """id, n_shingles, component_id, n_links (links verified from its class to other classes) of every row."""
+    def run(self, count_links: bool = True) -> DataFrame:
+        """id, n_shingles, component_id, n_links (links from its class to other classes) of every row.
+
+        Without count_links, n_links is left out.
+        """
         spark, scratch = self.spark, self.scratch
         counts = spark.sparkContext.broadcast(counters(self.docs, self.text, self.k))
         rows = scratch.write(profiles(self.docs, self.id, self.text, self.k, self.share, counts))
@@ -212,17 +262,19 @@ class Join:
                 owners = scratch.write(components(scratch, links))
             if last:
                 break
+        scratch.drop(members, *self.done)
         groups = classes.select("c", "k1", "k2", "n", "rep")
         if owners is None:
             labelled = groups.withColumn("component_id", F.col("rep")).withColumn("n_links", F.lit(0).cast("long"))
         else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+            degree = self._degrees(links, owners, classes) if count_links else owners.select("id", F.lit(0).cast("long").alias("n_links"))
             known = groups.join(owners, groups.c == owners.id).drop("id")
             least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
             known = known.join(least, "component").join(degree, F.col("c") == degree.id).select("c", "component_id", "n_links")
             labelled = groups.join(known, "c", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         full = rows.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
-        return full.select(F.col("id").alias(self.id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        out = full.select(F.col("id").alias(self.id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return out if count_links else out.drop("n_links")
 
     def _pivots(self, now: DataFrame, turn: int) -> DataFrame:
         """Pairs of each shingle's chosen class with the classes of other components under it.
@@ -236,10 +288,41 @@ class Join:
         both = both.filter(_close(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), self.share))
         return both.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
 
+    def _band(self) -> Column:
+        """Sets of similar texts lie in one band of lengths or in adjacent ones."""
+        return F.floor(F.log(F.col("n").cast("double")) / -np.log(self.share / 100 - 1e-9)).cast("long")
+
+    def _degrees(self, links: DataFrame, owners: DataFrame, classes: DataFrame) -> DataFrame:
+        """(id, n_links) of every linked class: all links within its component, listed by the rounds or not."""
+        scratch, share = self.scratch, self.share
+        own = classes.select("c", "k1", "n").join(owners, classes.c == owners.id).drop("id")
+        listed = links.join(owners, links.a == owners.id).groupBy("component").agg(F.count(F.lit(1)).alias("listed"))
+        heavy = lambda m, total: F.ceil(F.greatest(m / BLOCK, total / WEIGHT)).cast("long")
+        sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).join(listed, "component")
+        sizes = sizes.select("component", (F.col("m") - 1).alias("others"), (F.col("listed") * 2 == F.col("m") * (F.col("m") - 1)).alias("whole"), (heavy(F.col("m"), F.col("total")) > 1).alias("large"))
+        own = scratch.write(own.join(sizes, "component").withColumn("band", F.when(F.col("large"), self._band()).otherwise(0)))
+        known = own.filter("whole").select(F.col("c").alias("id"), F.col("others").alias("n_links"))
+        own = own.filter("not whole").select("component", "c", "k1", "n", "band")
+        cells = own.groupBy("component", "band").agg(heavy(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+        place = lambda band, block: band * (1 << 32) + block
+        own = own.join(cells, ["component", "band"]).withColumn("mine", place(F.col("band"), F.pmod(F.xxhash64("c"), "blocks"))).drop("blocks")
+        near = cells.select("component", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("band").alias("to"), "blocks")
+        met = own.join(near, ["component", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        other = place(F.col("to"), F.col("block"))
+        met = scratch.write(met.select("component", F.least("mine", other).alias("x"), F.greatest("mine", other).alias("y"), "mine", "c", "k1", "n"))
+        bins = -(-(met.agg(F.sum("n")).first()[0] or 0) // (2 * WEIGHT))
+        if not bins:
+            return known
+        sets = self._sets(met.select("c", "k1").distinct())
+        dealt = met.drop("k1").join(sets, "c").withColumn("bin", F.pmod(F.xxhash64("component", "x", "y"), F.lit(bins)))
+        found = dealt.groupBy("bin").applyInArrow(lambda given: _links_within(given, share), "c long, n_links long")
+        out = scratch.write(found.groupBy(F.col("c").alias("id")).agg(F.sum("n_links").alias("n_links")))
+        scratch.drop(sets, met)
+        return known.union(out)
+
     def _between(self, now: DataFrame) -> DataFrame:
         """All pairs under a shingle between different components; bands of lengths keep distant lengths apart."""
-        band = F.floor(F.log(F.col("n").cast("double")) / -np.log(self.share / 100 - 1e-9)).cast("long")
-        banded = now.withColumn("band", band)
+        banded = now.withColumn("band", self._band())
         a = banded.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("at"), *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "pos", "component", "band")])
         b = banded.select("key", F.col("band").alias("at"), *[F.col(x).alias(f"b_{x}") for x in ("c", "n", "pos", "component", "band")])
         both = a.join(b, ["key", "at"]).filter((F.col("a_component") != F.col("b_component")) & ((F.col("a_band") < F.col("b_band")) | (F.col("a_c") < F.col("b_c"))))
@@ -304,7 +387,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in id and text stay once.
     """
-    found = join(docs, **how)
+    found = Join(docs, **how).run(count_links=False)
     kept = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()

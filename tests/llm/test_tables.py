@@ -168,6 +168,17 @@ def test_ngram_join(spark, rows, k, share):
             assert r["component_id"] == root(r["doc_id"]) and (r["doc_id"], r["n_shingles"]) in {(i, len(s)) for i, s in sets}
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_ngram_join_counts_all_links(spark, rows, monkeypatch, block):
+    """Also those that no shingle's central class has a part in."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    sets = {_set(t, 3) for _, t, _ in rows} - {frozenset()}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets}
+    assert max(links.values()) > 5
+    want = Counter((i, links.get(_set(t, 3), 0)) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["n_links"]) for r in ngram_join.join(table(spark, rows), share=80).collect()) == want
+
+
 def test_ngram_join_rounds(spark, rows):
     """Further rounds and the last one find what one round finds."""
     df = table(spark, [r for r in rows if r[0] is not None])
