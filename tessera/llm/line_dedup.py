@@ -3,10 +3,11 @@
 Lines are compared without surrounding white space; blank lines are never compared. A gram is the shortest run of
 lines from a given one on that holds `min_words` words. Its hash is a fingerprint if the gram is a single line, or if
 it is the least of `window` successive grams (the last, if tied). So any repeated run with a line of `min_words` words,
-or with `window` grams, has a fingerprint in every place. Equal fingerprints join their first place (by id, then by
-text); from there matches extend both ways, as far as further lines can lie before the next fingerprint: `window` - 1
-lines back, and to the end of the gram that starts `window` - 1 lines ahead. Lines so matched are deleted in the later
-place, hence a copy of each deleted line stays in an earlier one.
+or with `window` grams, has a fingerprint in every place. Around a fingerprint that repeats, every extension is hashed,
+both ways, as far as further lines can lie before the next fingerprint: `window` - 1 lines back, and to the end of the
+gram that starts `window` - 1 lines ahead. Each extension joins its own first place (by id, then by text), so a run meets
+the earlier run itself, wherever its fingerprints occur before. Lines so matched are deleted in the later place, hence a
+copy of each deleted line stays in an earlier one.
 
 Null texts stay null, empty ones empty. Rows with equal id and text are one document: what they repeat of each other
 is kept in both, what they repeat of others goes in both. Other columns are not read. Line order is kept, and the text
@@ -34,13 +35,6 @@ def _computed(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def _equal_run(a: Column, b: Column) -> Column:
-    """How many leading elements are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
-
-
 def fingerprints(docs: DataFrame, min_words: int, window: int) -> DataFrame:
     """id, key (hash of the text), line (of the gram's first line), and g, n, back, ahead of every fingerprint."""
     lines = F.split("text", "\n")
@@ -73,11 +67,18 @@ def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> D
     lines = F.slice("at", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, F.col("n") + F.size("back") + F.size("ahead"))
     prints = scratch.write(prints.select("id", "key", "p", "n", "g", "back", "ahead", lines.alias("lines")))
     place = F.struct("id", "key", "p")
-    first = prints.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("id", "key", "p", "back", "ahead"), place).alias("a")).filter("m > 1")
-    later = prints.join(first, "g").filter(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("key") == F.col("a.key")) & (F.col("p") == F.col("a.p"))))
-    left, right = _equal_run(F.col("back"), F.col("a.back")), _equal_run(F.col("ahead"), F.col("a.ahead"))
-    gone = F.slice("lines", F.size("back") - left + 1, left + F.col("n") + right)
-    return later.select("id", "key", F.explode(gone).alias("line")).groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
+    again = prints.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
+    before, n = F.size("back"), F.col("n")
+    # side and length of each extension, and the lines that it has more than the one shorter by a line
+    itself = F.array(F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("h"), F.slice("lines", before + 1, n).alias("own")))
+    back = F.transform(_places(F.col("back")), lambda i: F.struct((-i - 1).alias("to"), F.xxhash64(F.slice("back", 1, i + 1)).alias("h"), F.slice("lines", before - i, F.lit(1)).alias("own")))
+    ahead = F.transform(_places(F.col("ahead")), lambda i: F.struct((i + 1).alias("to"), F.xxhash64(F.slice("ahead", 1, i + 1)).alias("h"), F.slice("lines", before + n + i + 1, F.lit(1)).alias("own")))
+    runs = prints.join(again, "g").select("id", "key", "p", "g", F.inline(F.concat(itself, back, ahead)))
+    runs = scratch.write(runs)
+    scratch.drop(prints)
+    first = runs.groupBy("g", "to", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("a")).filter("m > 1").drop("m")
+    later = runs.join(first, ["g", "to", "h"]).filter(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("key") == F.col("a.key")) & (F.col("p") == F.col("a.p"))))
+    return later.select("id", "key", F.explode("own").alias("line")).groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, window: int = 4) -> DataFrame:

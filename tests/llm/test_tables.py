@@ -261,6 +261,19 @@ def test_line_dedup(spark, rows):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_runs_behind_other_places(spark):
+    """Runs of documents 2 and 3 go whole, though their long lines occur in document 1 among other lines."""
+    docs, want = [], {}
+    for s in range(0, 200, 10):  # whether a gram over two lines is a fingerprint too, is up to the hashes
+        long = [f"line number {s} {i} has more than eight words in it" for i in range(2)]
+        run = [f"short head {s}", long[0], f"short middle {s}", f"other middle {s}", long[1], f"short tail {s}"]
+        ends = [f"document {s + i} ends in more than eight words of its own" for i in range(4)]
+        alone = "\n".join([f"alone a{s}", long[0], f"alone b{s}", long[1], f"alone c{s}"])
+        docs += [(s + 1, alone, "s"), (s + 2, "\n".join([*run, ends[2]]), "s"), (s + 3, "\n".join([f"own words {s}", *run, ends[3]]), "s")]
+        want |= {s + 1: alone, s + 2: "\n".join([*(x for x in run if x not in long), ends[2]]), s + 3: f"own words {s}\n{ends[3]}"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, docs)).collect()} == want
+
+
 def test_line_dedup_equal_rows(spark):
     text = "a line of eight words that repeats itself here\nother"
     out = line_dedup.dedup(table(spark, [(1, text, "s"), (1, text, "s"), (2, text, "s")])).collect()
