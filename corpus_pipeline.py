@@ -14,8 +14,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more for toxicity go; labels of the held-out third are not learned from."""
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.keep_clean(docs, model)
+    return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, mapped, table
 
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
@@ -133,7 +133,7 @@ class Index:
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.assign(matrix(b.column(1), width)), pa.int32())], ["vec_id", "x", "leaf"])
 
-        self.rows = self.scratch.write(usable.mapInArrow(assign, "vec_id long, x array<double>, leaf int"))
+        self.rows = self.scratch.write(mapped(usable, assign, "vec_id long, x array<double>, leaf int"))
         self.sizes = np.zeros(len(self.tree.leaves), np.int64)
         for leaf_, n in self.rows.groupBy("leaf").agg(F.count(F.lit(1))).collect():  # a row for each leaf of the tree
             self.sizes[leaf_] = n
@@ -157,7 +157,7 @@ class Index:
                     cols = list(zip(*found)) or [()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([place[i] for i in cols[1]], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
 
-        true = _top(self.rows.mapInArrow(exact, "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()
+        true = _top(mapped(self.rows, exact, "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()
         wanted: dict[int, list[int]] = {}
         for query, leaf in true:
             wanted.setdefault(query, []).append(leaf)
@@ -186,7 +186,7 @@ class Index:
                 leaves = [tree.value.walk(q, visits, sizes, 3 * k) for q in matrix(b.column(1), width)] if b.num_rows else []
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "q", "leaves"])
 
-        queries = self.scratch.write(self.rows.filter(is_query).select("vec_id", "x").mapInArrow(walk, "query_id long, q array<double>, leaves array<int>"))
+        queries = self.scratch.write(mapped(self.rows.filter(is_query).select("vec_id", "x"), walk, "query_id long, q array<double>, leaves array<int>"))
         visited = queries.select("query_id", "q", F.explode("leaves").alias("leaf"))
         asked = np.zeros(len(sizes), np.int64)
         for leaf, n in visited.groupBy("leaf").agg(F.count(F.lit(1))).collect():

@@ -26,11 +26,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import mapped, pieces, table
 
 LONG_WORD = 48
 #: Distinct words in each of two generations that a worker remembers; forgetting costs time only.
-MEMORY = 150_000
+MEMORY = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,6 +155,10 @@ class Merges:
                 known.update(zip([w for w, _ in part], self.fold([raw for _, raw in part])))
             known.update((w, self.fold_long(raw)) for w, raw in some if len(raw) > LONG_WORD)
 
+    def forget(self) -> None:
+        """A worker lives on after its task, and others need the memory."""
+        self.older, self.known = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.find(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(split)))
@@ -177,9 +181,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         m = merges(vocabulary, pattern)
         for b in pieces(batches, "t"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.encode(b.column(1).to_pylist()), pa.list_(pa.int32()))], ["id", "ids"])
+        m.forget()
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,7 +197,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "decoded"])
 
     kind = dict(encoded.dtypes)[id_col]
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return mapped(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -205,9 +210,10 @@ def digest(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fals
             ids = [x.tolist() for x in m.encode(b.column(1).to_pylist())]
             columns = [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(" ".join(map(m.text.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(m.decode(x)) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        m.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def merge_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word", buckets: int = 4096) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (local runs), a folder of our own."""
+    """The shared folder of spark.checkpoint.dir; where it is unset and all runs on this machine, a folder of our own."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.scratch.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors on other machines need a shared folder")
         given = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("tessera.scratch.dir", given)
     return given
@@ -64,6 +67,34 @@ class Scratch:
             pass
 
 
+#: Rows that Spark hands to a Python worker at a time, on top of its limit in bytes.
+BATCH_ROWS = 1000
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches; a task's free memory goes back to the system when it ends, since
+    the worker lives on and others need it."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return df.mapInArrow(lean, schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of `column` each (one row at least)."""
     for batch in batches:

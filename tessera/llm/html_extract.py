@@ -20,7 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces, table
+from .common import mapped, pieces, table
 
 # Elements without content, elements that start a block, and elements or names around boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,7 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

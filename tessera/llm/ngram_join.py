@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, flat, mix64, pieces, table
+from .common import Rolling, Scratch, flat, mapped, mix64, pieces, table
 from .graph import components
 
 SLOTS = 20  # bits of a counter's number
@@ -111,12 +111,12 @@ def counters(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "counts": [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in total.values()]})
 
     kind = "part int, counts binary"
-    each = docs.select(F.col(text_col).alias("t")).mapInArrow(count, kind)
+    each = mapped(docs.select(F.col(text_col).alias("t")), count, kind)
     n = docs.rdd.getNumPartitions()
     while n > FAN_IN:  # a tree of sums, so that a task reads FAN_IN tasks' counters at most
         n = -(-n // FAN_IN)
-        each = each.repartition(n).mapInArrow(add, kind)
-    some = each.repartition(PARTS, "part").mapInArrow(add, kind)
+        each = mapped(each.repartition(n), add, kind)
+    some = mapped(each.repartition(PARTS, "part"), add, kind)
     out = np.zeros((PARTS, size), np.int64)
     for part, raw in some.collect():
         out[part] += np.frombuffer(zlib.decompress(bytes(raw)), np.uint32)
@@ -161,7 +161,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, share: int, co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *keys, prefix, signature], ["id", "n", "k1", "k2", "prefix", "signature"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, prefix array<long>, signature array<long>")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, f"id {kind}, n long, k1 long, k2 long, prefix array<long>, signature array<long>")
 
 
 def _similar(a: Column, b: Column, overlap: Column, share: int) -> Column:
@@ -374,7 +374,7 @@ class Join:
                 sets = [values[ends[i] - n[i] : ends[i]].view(np.int64) for i in out]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(sets, pa.list_(pa.int64()))], ["k1", "set"])
 
-        sets = self.docs.select(F.col(self.text).alias("t")).mapInArrow(run, "k1 long, set array<long>")
+        sets = mapped(self.docs.select(F.col(self.text).alias("t")), run, "k1 long, set array<long>")
         return self.scratch.write(sets.join(wanted, "k1").groupBy("c").agg(F.first("set").alias("set")))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, flat, mix64, pieces, table
+from .common import Rolling, Scratch, flat, mapped, mix64, pieces, table
 
 PIECE = 64
 #: Bytes of stretches in a shard, and different stretches of one piece beyond which it is spread.
@@ -161,7 +161,7 @@ class Dedup:
 
         kind = dict(self.docs.dtypes)[self.id]
         long_ = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("t")).filter(F.octet_length("t") >= length)
-        found = long_.mapInArrow(find, f"id {kind}, c binary, n long, found array<struct<h:long,lo:int,hi:int>>")
+        found = mapped(long_, find, f"id {kind}, c binary, n long, found array<struct<h:long,lo:int,hi:int>>")
         classes = scratch.write(found.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("found").alias("found")))
         each = classes.select("c", "rep", F.explode("found").alias("x")).select("c", "rep", "x.h", "x.lo", "x.hi")
         shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
@@ -215,7 +215,7 @@ class Dedup:
         kind = dict(self.docs.dtypes)[self.id]
         texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).cast("binary").alias("t")).withColumn("c", F.unhex(F.md5("t")))
         both = texts.join(spans, "c", "left").select("id", "t", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-        return both.mapInArrow(keep, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", self.id)
+        return mapped(both, keep, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", self.id)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import mapped, pieces, table
 
 # Fixed values of the TIFF 6.0 format: tags and compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -293,7 +293,7 @@ def decode_tiff(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["id", "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
     kinds = [id_type, *[pa.int32()] * 6, pa.binary(), pa.string()]
-    return ids.mapInArrow(run, f"id {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string").withColumnRenamed("id", id_col)
+    return mapped(ids, run, f"id {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string").withColumnRenamed("id", id_col)
 
 
 def text_media(text: str | None) -> tuple[int, bytes]:
@@ -334,7 +334,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,20 @@
 
 A token that may hide a word (leetspeak, spaced or dotted letters, repetitions, look-alike letters) becomes a lattice of
 the letters it may stand for; Viterbi decoding finds its likeliest word under a character trigram model, and the
-restored text is scored. Weights of words and of word beginnings, the language model and the final logistic curve are
-learned from labelled rows: at most `max_rows` of them (a documented bound, the rows with the smallest hash of the id).
-Scoring reads the text alone.
-
-Decoding is skipped for tokens whose outline (every letter replaced by the class of all letters it may be confused
-with, repetitions and separators dropped) begins no outline of a weighted word: no path of their lattice can reach one.
-
-Null and empty texts score as texts without any weighted word. Rows are scored one by one: repeated rows score alike,
-an empty table gives an empty result, and only the id and text columns are read.
+restored text is scored. The trigrams are counted over all documents, in one pass whose result the alphabet bounds; the
+words and word beginnings that are sought weigh as much again. Features and their weights are learned from labelled
+rows: at most `max_rows` of them (a documented bound, the rows with the smallest hash of the id). A word or beginning
+is a feature if toxic rows hold it significantly more often; weights come from a ridge logistic regression on the
+logarithms of their counts, its strength and the final curve from folds that the features and weights have not seen.
+
+Decoding is exact: states dearer than the best one by all that the best one could pay more are dropped, no others.
+Whole tokens are decoded, in time in proportion to their length; decoding ends early where all paths agree on what can
+still matter. It is skipped for tokens whose outline (every letter replaced by the class of all letters it may be
+confused with, repetitions and separators dropped) begins no outline of a feature: no path of their lattice can reach
+one. A run of single signs is searched from each of its signs on, more than two equal signs counting as two.
+
+Null and empty texts score as texts without any feature. Rows are scored one by one: repeated rows score alike, an
+empty table gives an empty result, and only the id and text columns are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import mapped, pieces, table
 
 # Usual leetspeak digits and signs, and letters of other scripts that look like Latin ones.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -35,13 +41,54 @@ LOOK_ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 CLASSES = {"l": "i", "z": "s"}
 SEPARATORS = ".-_*~'`^\"#/\\,;: ​‌‍﻿­"
 
-PREFIXES = (4, 5, 6, 7)
-#: Tokens whose weight a worker remembers; forgetting costs time only.
-MEMORY = 150_000
+PREFIXES = (4, 5, 6, 7, 8)
+#: Tokens whose features a worker remembers; forgetting costs time only.
+MEMORY = 100_000
+#: Letters of a word's outline from which on it is sought within a run of single signs.
+IN_RUN = 5
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S(?!\S)|[.\-_*]\S(?=[ .\-_*]|$)){2,}")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”‘’¿¡*#%&$@~-_…|/\\=+^`"
 
+#: Letters that the language model tells apart: small Latin ones of the first three Unicode blocks; all others are one.
+ALPHABET = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c.lower() == c)[:126]
+_OTHER, _SIZE = 127, 128
+
+
+@cache
+def _letters() -> np.ndarray:
+    """The number of each code point's letter: 0 for what is none."""
+    out = np.zeros(0x110000, np.uint8)
+    out[: 1 << 16] = [_OTHER if chr(c).isalpha() else 0 for c in range(1 << 16)]
+    out[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
+    return out
+
+
+def count_trigrams(texts: list[str | None]) -> np.ndarray:
+    """How often each trigram of letters occurs: _SIZE**3 counters, where 0 stands before and after a word."""
+    raw = "\n\n".join(t for t in texts if t).lower().encode("utf-32-le", "surrogatepass")
+    x = np.concatenate([np.zeros(2, np.uint8), _letters()[np.frombuffer(raw, np.uint32)], np.zeros(1, np.uint8)])
+    a, b, c = (x[i : len(x) - 2 + i].astype(np.int32) for i in range(3))
+    a[b == 0] = 0
+    keys = (a * _SIZE + b) * _SIZE + c
+    return np.bincount(keys[(b > 0) | (c > 0)], minlength=_SIZE**3)
+
+
+def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The counters over all documents, summed by Spark; what reaches the driver is bounded by the alphabet."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SIZE**3, np.int64)
+        for b in pieces(batches, "t"):
+            total += count_trigrams(b.column(0).to_pylist())
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(total[keys])], ["key", "n"])
+
+    found = mapped(docs.select(F.col(text_col).alias("t")), run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_SIZE**3, np.int64)
+    out[np.asarray(found["key"])] = np.asarray(found["n"])
+    return out
+
 
 def _fold(letter: str) -> str:
     letter = LOOK_ALIKE.get(letter, letter)
@@ -51,21 +98,34 @@ def _fold(letter: str) -> str:
 class Channel:
     """What an observed sign may stand for, and the language model that weighs it."""
 
-    def __init__(self, words: Counter, sought: list[str] = ()):
-        """Trigrams of words by the logarithm of their counts; those of the sought words and beginnings (~) weigh more,
-        since only tokens that may hide one are decoded."""
-        grams, before = Counter(), Counter()
-        lines = [(f"\x02\x02{w}\x03", 1 + math.log(n)) for w, n in words.items()]
-        lines += [("\x02\x02" + (f[:-1] if f.endswith("~") else f + "\x03"), 2000.0) for f in sought]
-        for line, weight in lines:
+    def __init__(self, counts: np.ndarray, sought: list[str] = ()):
+        """Half of a trigram's weight comes from the counts, half from the sought words and beginnings (~)."""
+        signs = np.array(["\x02", *ALPHABET, *[""] * (_SIZE - 1 - len(ALPHABET))])
+        keys = np.flatnonzero(counts)
+        a, b, c = keys // _SIZE**2, keys // _SIZE % _SIZE, keys % _SIZE
+        known = (np.maximum(np.maximum(a, b), c) <= len(ALPHABET)) & ((b > 0) | (c > 0))
+        keys, a, b, c = keys[known], a[known], b[known], c[known]
+        before = np.bincount(a * _SIZE + b, counts[keys], _SIZE**2)[a * _SIZE + b]
+        ends = np.where(c == 0, "\x03", signs[c])
+        share = dict(zip((x + y + z for x, y, z in zip(signs[a].tolist(), signs[b].tolist(), ends.tolist())), ((counts[keys] + 0.05) / (before + 2.0)).tolist()))
+        grams, first = Counter(), Counter()
+        for f in sought:
+            line = "\x02\x02" + (f[:-1] if f.endswith("~") else f + "\x03")
             for i in range(2, len(line)):
-                grams[line[i - 2 : i + 1]] += weight
-                before[line[i - 2 : i]] += weight
-        self.cost = {g: -math.log((n + 0.05) / (before[g[:2]] + 2.0)) for g, n in grams.items()}
+                grams[line[i - 2 : i + 1]] += 1
+                first[line[i - 2 : i]] += 1
         self.rare = 8.0
+        both = {g: share.get(g, 0.0) + (grams[g] / first[g[:2]] if g in grams else 0.0) for g in share.keys() | grams.keys()}
+        self.cost = {g: min(self.rare, -math.log(p / 2 if g[:2] in first else p)) for g, p in both.items()}
+        self.known: dict[str, list[tuple[str, float]]] = {}
 
     def options(self, sign: str) -> list[tuple[str, float]]:
         """(letter, cost); an empty letter is a separator that is dropped."""
+        if (out := self.known.get(sign)) is None:
+            self.known[sign] = out = self._options(sign)
+        return out
+
+    def _options(self, sign: str) -> list[tuple[str, float]]:
         if sign in SEPARATORS:
             return [("", 0.3)]
         if sign in LEET:
@@ -75,22 +135,36 @@ class Channel:
             return [(sign, 0.0)] if sign.isalpha() else [("", 2.0), (sign, 0.5)]
         return [(sign, 0.0), (folded, 0.7)]
 
-    def restore(self, token: str, beam: int = 24) -> str:
-        """The likeliest word behind the token; a repeated letter may be one."""
-        states = {("\x02", "\x02"): (0.0, "")}
+    def decode(self, token: str, limit: int) -> tuple[str, str]:
+        """The first `limit` letters of the likeliest word, and of the same without doubled letters."""
+        cost, rare, get = self.cost, self.rare, self.cost.get
+        states = {("\x02", "\x02"): (0.0, "", "")}
         for sign in token:
-            after: dict[tuple[str, str], tuple[float, str]] = {}
+            after: dict[tuple[str, str], tuple[float, str, str]] = {}
             options = self.options(sign)
-            for (a, b), (cost, word) in states.items():
+            for (a, b), (paid, head, shape) in states.items():
                 for letter, price in options:
-                    moves = [((b, letter), cost + price + self.cost.get(a + b + letter, self.rare), word + letter)] if letter else [((a, b), cost + price, word)]
-                    if letter and letter == b:
-                        moves.append(((a, b), cost + price + 0.4, word))
-                    for state, total, grown in moves:
+                    if letter:
+                        total, state = paid + price + get(a + b + letter, rare), (b, letter)
                         if state not in after or total < after[state][0]:
-                            after[state] = (total, grown)
-            states = after if len(after) <= beam else dict(sorted(after.items(), key=lambda x: (x[1][0], x[1][1]))[:beam])
-        return min((cost + self.cost.get(a + b + "\x03", self.rare), word) for (a, b), (cost, word) in states.items())[1]
+                            after[state] = (total, head + letter if len(head) < limit else head, shape + letter if len(shape) < limit and letter != shape[-1:] else shape)
+                    if not letter or letter == b:
+                        total = paid + price + (0.4 if letter else 0.0)
+                        if (a, b) not in after or total < after[a, b][0]:
+                            after[a, b] = (total, head, shape)
+            if len(after) > 1:
+                # the best state can go on as any other does, and differs from it in three trigrams at most
+                most = min(after.values())[0] + 3 * rare
+                after = {s: v for s, v in after.items() if v[0] <= most}
+                heads = {v[1:] for v in after.values()}
+                if len(heads) == 1 and min(map(len, only := heads.pop())) >= limit:
+                    return only
+            states = after
+        return min((paid + get(a + b + "\x03", rare), head, shape) for (a, b), (paid, head, shape) in states.items())[1:]
+
+    def restore(self, token: str) -> str:
+        """The whole likeliest word behind the token."""
+        return self.decode(token, len(token) + 1)[0]
 
 
 class _Outline(dict):
@@ -118,128 +192,201 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], channel: Channel, curve: tuple[float, float]):
-        self.weights, self.channel, self.curve = weights, channel, curve
-        self.words = {}
-        for f, w in weights.items():
-            if not f.endswith("~"):
-                self.words[outline(f)] = max(w, self.words.get(outline(f), 0.0))
-        self.beginnings = {outline(f[:-1]) for f in weights if f.endswith("~")}
-        self.shortest = min(map(len, [*self.words, *self.beginnings]), default=99)
-        self.longest = max(map(len, self.beginnings), default=0)
-        self.known: dict[str, float] = {}
+    def __init__(self, names: list[str], weights: np.ndarray, channel: Channel, curve: tuple[float, float]):
+        self.number, self.weights, self.channel, self.curve = {f: i for i, f in enumerate(names)}, [float(w) for w in weights], channel, curve
+        words = [f for f in names if not f.endswith("~")]
+        self.words, self.undoubled = {outline(f) for f in words}, {_TWICE.sub(r"\1", f): self.number[f] for f in words}
+        self.beginnings = {outline(f[:-1]) for f in names if f.endswith("~")}
+        shapes = [*self.words, *self.beginnings]
+        self.paths = {s[:n] for s in shapes for n in range(1, len(s) + 1)}
+        self.shortest, self.longest = min(map(len, shapes), default=99), max(map(len, self.beginnings), default=0)
+        self.limit = 2 + max(map(len, names), default=0)  # letters of a word that decide on its features
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def weigh_plain(self, word: str) -> float:
-        get = self.weights.get
-        return max((get(f, 0.0) for f in features(word)), default=0.0)
+    def plain(self, word: str) -> tuple[int, ...]:
+        get = self.number.get
+        return tuple([i for f in features(word) if (i := get(f)) is not None])
 
-    def restore_token(self, token: str) -> str | None:
-        """The decoded word, where the token's outline can lead to a weighted one."""
+    def reaches(self, token: str) -> bool:
+        """Whether some path of the token's lattice may lead to a feature."""
         shape = outline(token)
-        if len(shape) < self.shortest or not (shape in self.words or any(shape[:n] in self.beginnings for n in range(self.shortest, min(self.longest, len(shape)) + 1))):
-            return None
-        return self.channel.restore(token[:400]) if len(token) > 400 and shape not in self.words else self.channel.restore(token)
+        return len(shape) >= self.shortest and (shape in self.words or any(shape[:n] in self.beginnings for n in range(self.shortest, min(self.longest, len(shape)) + 1)))
 
-    def weigh(self, token: str) -> float:
+    def found(self, token: str) -> tuple[int, ...]:
+        """Numbers of the features that a token of small letters shows or hides."""
         word = token.strip(_EDGES)
-        if found := self.weigh_plain(word):
-            return found
+        if out := self.plain(word):
+            return out
         if _PLAIN(token):
-            return 0.0
+            return ()
         for form in dict.fromkeys((token, word)):
-            if restored := self.restore_token(form):  # decoding leaves open whether a letter was doubled
-                if found := self.weigh_plain(restored.strip(_EDGES)) or self.words.get(outline(restored), 0.0):
-                    return found
-        return 0.0
-
-    def evidence(self, text: str) -> float:
-        text = text.lower()
-        tokens = text.split()
-        total, known = 0.0, self.known
-        for token in tokens:
-            w = known.get(token)
-            if w is None:
-                w = self.weigh(token)
+            if self.reaches(form):  # decoding leaves open whether a letter was doubled
+                head, shape = self.channel.decode(form, self.limit)
+                if out := self.plain(head.strip(_EDGES)):
+                    return out
+                if (i := self.undoubled.get(shape)) is not None:
+                    return (i,)
+        return ()
+
+    def counts(self, text: str) -> Counter:
+        """How often each feature occurs in the restored text."""
+        text, out, known = text.lower(), Counter(), self.known
+        for token in text.split():
+            own = known.get(token)
+            if own is None:
+                own = self.found(token)
                 if len(known) >= MEMORY:
                     known.clear()
                 if len(token) < 80:
-                    known[token] = w
-            total += w
+                    known[token] = own
+            if own:
+                out.update(own)
         for m in _SPACED.finditer(text):
-            total += self.weigh(self.spaced(m[0]))
-        return total
+            for _, _, own in self.spaced(m[0]):
+                out.update(own)
+        return out
 
-    def spaced(self, run: str) -> str:
-        """The part of a run of single signs that a weighted word begins, else all of it."""
-        for i in range(len(run)):
-            if i == 0 or run[i - 1] in " .-_*":
-                if run[i] not in " .-_*" and self.weigh(run[i:]):
-                    return run[i:]
-        return run
+    def spaced(self, run: str) -> list[tuple[int, int, tuple[int, ...]]]:
+        """(start, end, features) of the words and beginnings in a run of single signs; short words at its end alone."""
+        signs = [(i, c) for i, c in enumerate(run) if c not in SEPARATORS]
+        signs = [x for n, x in enumerate(signs) if n < 2 or not x[1] == signs[n - 1][1] == signs[n - 2][1]]
+        joined, kinds, out, at, size = "".join(c for _, c in signs), [_CLASS[ord(c)] for _, c in signs], [], 0, 2 * self.limit
+        while at < len(joined):
+            shape, own, stop = "", (), at + 1
+            for j in range(at, min(len(joined), at + size)):
+                if not kinds[j] or kinds[j] == shape[-1:]:
+                    continue
+                shape += kinds[j]
+                if shape not in self.paths:
+                    break
+                stop = j + 1
+                while stop < len(joined) and kinds[stop] == kinds[j]:
+                    stop += 1
+                if shape in self.words and (len(shape) >= IN_RUN or stop == len(joined)):
+                    own = self.found(joined[at:stop])
+                if not own and shape in self.beginnings:
+                    own = self.found(joined[at : at + size])
+                if own:
+                    out.append((signs[at][0], signs[stop - 1][0] + 1, own))
+                    break
+            at = stop if own else at + 1
+        return out
 
     def restore(self, text: str) -> str:
         """The text with decoded words in the place of the tokens that hide them."""
+
         def run(m: re.Match) -> str:
-            part = self.spaced(m[0].lower())
-            return m[0][: len(m[0]) - len(part)] + (self.restore_token(part) or part) if self.weigh(part) else m[0]
+            out, at = "", 0
+            for start, end, _ in self.spaced(m[0].lower()):
+                out, at = out + m[0][at:start] + self.channel.restore("".join(c for c in m[0][start:end].lower() if c not in SEPARATORS)), end
+            return out + m[0][at:]
 
-        text = _SPACED.sub(run, text)
-        return re.sub(r"\S+", lambda m: (self.restore_token(m[0].lower()) if not self.weigh_plain(m[0].lower().strip(_EDGES)) and self.weigh(m[0].lower()) else None) or m[0], text)
+        def token(m: re.Match) -> str:
+            low = m[0].lower()
+            if self.plain(low.strip(_EDGES)) or not self.found(low):
+                return m[0]
+            return self.channel.restore(low if self.reaches(low) else low.strip(_EDGES))
+
+        return re.sub(r"\S+", token, _SPACED.sub(run, text))
 
     def score(self, text: str | None) -> float:
         a, b = self.curve
-        x = a + b * math.log1p(self.evidence(text)) if text else a
+        x = a + b * sum([self.weights[i] * math.log1p(n) for i, n in self.counts(text).items()]) if text else a
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def fit(rows: list[tuple[str, int]], least_docs: int = 3, least_share: float = 0.02, least_types: int = 4, least_odds: float = 2.5) -> Model:
-    """Learns from (text, label) rows; equal texts count once."""
-    rows = sorted({(t or "", int(y)) for t, y in rows})
-    seen = {1: Counter(), 0: Counter()}
-    words: Counter = Counter()
-    n = Counter(y for _, y in rows)
-    for text, y in rows:
-        own = {w for t in text.lower().split() if (w := t.strip(_EDGES))}
-        words.update(w for w in own if w.isalpha() and len(w) < 30)
-        seen[y].update(own)
-    least = max(least_docs, least_share * n[1])
-    weights = _select(seen[1], seen[0], n, least, least_odds)
-    # a beginning counts by itself where it leads to several words
-    begins, types = {1: Counter(), 0: Counter()}, Counter()
-    for f in seen[1]:
-        types.update(features(f)[1:])
-    for text, y in rows:
-        own = {w for t in text.lower().split() if (w := t.strip(_EDGES))}
-        begins[y].update({f for w in own for f in features(w)[1:] if types[f] >= least_types})
-    weights |= _select(begins[1], begins[0], n, least, least_odds)
-    frequent = Counter(dict(words.most_common(100_000)))
-    model = Model(weights, Channel(frequent, sorted(weights)), (0.0, 0.0))
-    x = np.log1p(np.array([model.evidence(t) for t, _ in rows] or [0.0]))
-    y = np.array([y for _, y in rows] or [0], float)
-    design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
-    for _ in range(60):  # ridge logistic regression by Newton steps
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-4, 1e-4])
-        step = np.linalg.solve(hessian, design.T @ (y - p) - 1e-4 * beta)
+def _surprise(p: np.ndarray, q: np.ndarray, base: float) -> np.ndarray:
+    """Twice the log likelihood ratio of p toxic and q other rows against their share in all rows."""
+    n, share = p + q, p / np.maximum(p + q, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        other = np.where(q > 0, q * np.log((1 - share) / (1 - base)), 0.0)
+        return np.where((n > 0) & (share > base), 2 * (p * np.log(share / base) + other), 0.0)
+
+
+def _regress(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-7:
             break
-    model.curve = (float(beta[0]), max(0.0, float(beta[1])))
-    return model
-
-
-def _select(pos: Counter, neg: Counter, n: Counter, least: float, least_odds: float) -> dict[str, float]:
-    """Log odds of the features that toxic rows have far more often."""
-    out = {}
-    for f, p in pos.items():
-        if p >= least and len(f.rstrip("~")) > 2:
-            odds = math.log((p + 0.5) / (n[1] + 1)) - math.log((neg[f] + 0.5) / (n[0] + 1))
-            if odds >= least_odds and p >= 4 * neg[f]:
-                out[f] = round(odds, 6)
-    return out
+    return beta
+
+
+def _weights(x: np.ndarray, y: np.ndarray, strength: float, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the significant columns, and their weights (the constant's last)."""
+    base = min(max(y.mean(), 1e-9), 1 - 1e-9)
+    p, q = (x[y == 1] > 0).sum(0), (x[y == 0] > 0).sum(0)
+    g = _surprise(p.astype(float), q.astype(float), base)
+    picked = np.flatnonzero((g >= least) & (p > q))
+    picked = np.sort(picked[np.argsort(-g[picked], kind="stable")[:most]])
+    rows = np.column_stack([x[:, picked], np.ones(len(x)), y])
+    rows, times = np.unique(rows, axis=0, return_counts=True)  # most rows hold no feature
+    ridge = np.full(len(picked) + 1, strength)
+    ridge[-1] = 1e-4
+    return picked, _regress(rows[:, :-1], rows[:, -1], ridge, times.astype(float))
+
+
+def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_types: int = 4, least_surprise: float = 15.0, most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
+    """Learns from (text, label) rows, equal ones counting once, and from the trigrams of all documents (or of the rows)."""
+    rows = sorted({(t or "", int(y)) for t, y in rows})
+    y = np.array([label for _, label in rows], float)
+    if counts is None:
+        counts = count_trigrams([t for t, _ in rows])
+    tokens = [Counter(w for t in text.lower().split() if (w := t.strip(_EDGES))) for text, _ in rows]
+    toxic, types = Counter(), Counter()
+    for own, label in zip(tokens, y):
+        if label:
+            toxic.update({f for w in own for f in features(w)})
+    for w in {w for own, label in zip(tokens, y) if label for w in own}:
+        types.update(features(w)[1:])
+    # a beginning counts by itself where it leads to several words
+    names = sorted(f for f, n in toxic.items() if n >= least_docs and len(f.rstrip("~")) > 2 and (not f.endswith("~") or types[f] >= least_types))
+    number, of = {f: i for i, f in enumerate(names)}, {}
+    sparse: list[tuple[int, int, int]] = []
+    for r, own in enumerate(tokens):
+        total = Counter()
+        for w, n in own.items():
+            if (ids := of.get(w)) is None:
+                of[w] = ids = tuple([number[f] for f in features(w) if f in number])
+            for i in ids:
+                total[i] += n
+        sparse += [(r, i, n) for i, n in total.items()]
+    row, column, n = (np.array([z[k] for z in sparse], np.int64) for k in range(3))
+    p, q = (np.bincount(column[y[row] == label], minlength=len(names)) if len(sparse) else np.zeros(len(names)) for label in (1, 0))
+    base = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
+    keep = np.flatnonzero(_surprise(p.astype(float), q.astype(float), base) >= least_surprise / 2)  # no fold's columns are lost
+    place = np.full(len(names), -1)
+    place[keep] = np.arange(len(keep))
+    x = np.zeros((len(rows), len(keep)))
+    if len(sparse):
+        inside = place[column] >= 0
+        x[row[inside], place[column[inside]]] = np.log1p(n[inside])
+    if not len(keep) or not 0 < y.sum() < len(y):
+        prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
+        return Model([], np.zeros(0), Channel(counts), (min(prior, 0.0), 1.0))
+    fold = np.random.default_rng(7).permutation(len(y)) % folds
+    outside: dict[float, np.ndarray] = {}
+    for strength in strengths:
+        outside[strength] = z = np.zeros(len(y))
+        for k in range(folds):
+            mine = fold != k
+            if mine.any() and 0 < y[mine].sum() < mine.sum():
+                picked, beta = _weights(x[mine], y[mine], strength, least_surprise * (folds - 1) / folds, most_features)
+                z[~mine] = x[~mine][:, picked] @ beta[:-1] + beta[-1]
+    loss = lambda z: float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
+    best = min(strengths, key=lambda s: loss(outside[s]))
+    picked, beta = _weights(x, y, best, least_surprise, most_features)
+    curve = _regress(np.column_stack([outside[best], np.ones(len(y))]), y, np.array([1e-3, 1e-4]), np.ones(len(y)))
+    slope = max(0.0, float(curve[0]))
+    chosen = [names[keep[i]] for i in picked]
+    return Model(chosen, beta[:-1], Channel(counts, chosen), (float(curve[1] + slope * beta[-1]), slope))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> list[tuple[str, int]]:
@@ -249,6 +396,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) ->
     return [(r[0], r[1]) for r in docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").select("text", "toxic").collect()]
 
 
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Model:
+    """Trigrams of all documents, features and weights of the labelled sample."""
+    return fit(training_rows(docs, labels, max_rows), trigrams(docs))
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -262,7 +414,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model.known.clear()
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -277,11 +429,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
             yield b.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
         model.known.clear()  # a worker lives on after its task
 
-    return given.mapInArrow(run, given.schema).toDF(*names)
+    return mapped(given, run, given.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    out = score(docs, model)
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
