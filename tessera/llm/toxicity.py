@@ -44,6 +44,8 @@ SEPARATORS = ".-_*~'`^\"#/\\,;: ​‌‍﻿­"
 PREFIXES = (4, 5, 6, 7, 8)
 #: Tokens whose features a worker remembers; forgetting costs time only.
 MEMORY = 100_000
+#: Counters by hash of the features of toxic rows.
+SIEVE = 1 << 21
 #: Letters of a word's outline from which on it is sought within a run of single signs.
 IN_RUN = 5
 
@@ -333,41 +335,52 @@ def _weights(x: np.ndarray, y: np.ndarray, strength: float, least: float, most:
     return picked, _regress(rows[:, :-1], rows[:, -1], ridge, times.astype(float))
 
 
+def _words(text: str) -> list[str]:
+    return [w for t in text.lower().split() if (w := t.strip(_EDGES))]
+
+
+def _columns(rows: list[tuple[str, int]], names: list[str]) -> Iterator[Counter]:
+    """For each row, how often it holds each of the named features, by number."""
+    number, known = {f: i for i, f in enumerate(names)}, {}
+    for text, _ in rows:
+        out = Counter()
+        for w in _words(text):
+            if (ids := known.get(w)) is None:
+                if len(known) >= MEMORY:
+                    known.clear()
+                known[w] = ids = tuple([number[f] for f in features(w) if f in number])
+            if ids:
+                out.update(ids)
+        yield out
+
+
 def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_types: int = 4, least_surprise: float = 15.0, most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
     """Learns from (text, label) rows, equal ones counting once, and from the trigrams of all documents (or of the rows)."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     y = np.array([label for _, label in rows], float)
     if counts is None:
         counts = count_trigrams([t for t, _ in rows])
-    tokens = [Counter(w for t in text.lower().split() if (w := t.strip(_EDGES))) for text, _ in rows]
-    toxic, types = Counter(), Counter()
-    for own, label in zip(tokens, y):
-        if label:
-            toxic.update({f for w in own for f in features(w)})
-    for w in {w for own, label in zip(tokens, y) if label for w in own}:
-        types.update(features(w)[1:])
+    toxic = [text for text, label in rows if label]
+    sieve = np.zeros(SIEVE, np.uint32)  # counts by hash, so that only features of enough rows are held by name
+    for text in toxic:
+        sieve[np.unique([hash(f) % SIEVE for w in set(_words(text)) for f in features(w)]).astype(np.int64)] += 1
+    held, types = Counter(), Counter()
+    for text in toxic:
+        held.update({f for w in set(_words(text)) for f in features(w) if sieve[hash(f) % SIEVE] >= least_docs})
+    for w in {w for text in toxic for w in _words(text)}:
+        types.update([f for f in features(w)[1:] if f in held])
     # a beginning counts by itself where it leads to several words
-    names = sorted(f for f, n in toxic.items() if n >= least_docs and len(f.rstrip("~")) > 2 and (not f.endswith("~") or types[f] >= least_types))
-    number, of = {f: i for i, f in enumerate(names)}, {}
-    sparse: list[tuple[int, int, int]] = []
-    for r, own in enumerate(tokens):
-        total = Counter()
-        for w, n in own.items():
-            if (ids := of.get(w)) is None:
-                of[w] = ids = tuple([number[f] for f in features(w) if f in number])
-            for i in ids:
-                total[i] += n
-        sparse += [(r, i, n) for i, n in total.items()]
-    row, column, n = (np.array([z[k] for z in sparse], np.int64) for k in range(3))
-    p, q = (np.bincount(column[y[row] == label], minlength=len(names)) if len(sparse) else np.zeros(len(names)) for label in (1, 0))
+    names = sorted(f for f, n in held.items() if n >= least_docs and len(f.rstrip("~")) > 2 and (not f.endswith("~") or types[f] >= least_types))
+    docs_with = np.zeros((2, len(names)))
+    for (_, label), own in zip(rows, _columns(rows, names)):
+        docs_with[label, list(own)] += 1
     base = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
-    keep = np.flatnonzero(_surprise(p.astype(float), q.astype(float), base) >= least_surprise / 2)  # no fold's columns are lost
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
+    g = _surprise(docs_with[1], docs_with[0], base)
+    keep = np.flatnonzero(g >= least_surprise / 2)  # no column that a fold may pick is lost
+    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[: 2 * most_features]])
     x = np.zeros((len(rows), len(keep)))
-    if len(sparse):
-        inside = place[column] >= 0
-        x[row[inside], place[column[inside]]] = np.log1p(n[inside])
+    for r, own in enumerate(_columns(rows, [names[i] for i in keep])):
+        x[r, list(own)] = np.log1p(list(own.values()))
     if not len(keep) or not 0 < y.sum() < len(y):
         prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
         return Model([], np.zeros(0), Channel(counts), (min(prior, 0.0), 1.0))
