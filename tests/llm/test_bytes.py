@@ -1,6 +1,7 @@
 """Operators on single texts: BPE, TIFF, toxicity, HTML."""
 
 import hashlib
+import html
 import math
 import re
 import time
@@ -255,9 +256,46 @@ def test_html_table(spark):
     assert [r["n_chars"] for r in out] == [len(r["text"]) for r in out] and sorted(r["page_id"] for r in out) == [1, 1, 2]
 
 
-def test_html_long_page_takes_time_in_proportion():
+BOTH = "<nav>menu</nav><article><p>" + "lead " * 7 + "</p><div class='post-content'><p>" + "rest " * 13 + "</p></div></article><p>stranger</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (BOTH, ["lead " * 7, "rest " * 13]),  # the outermost article, whatever share lies deeper
+        (BOTH.replace("article", "div class=content").replace("/div class=content", "/div"), ["lead " * 7, "rest " * 13]),
+        ("<main><p>" + "one " * 20 + "</p><section class=story><p>" + "two " * 12 + "</p></section></main><p>stranger</p>", ["one " * 20, "two " * 12]),
+        ("<article><p>AT&am<b>p;T</b> x&amp;y &l<!-- -->t; a < b</p></article>", ["AT&amp;T x&y &lt; a < b"]),
+        ("<article><p class='related work'>Related work is text here.</p><p class=ad>Buy</p><div class=related>More</div></article>", ["Related work is text here."]),
+        ("<article><p>a<i><i><i><i><i>b<p>c</article>", ["ab", "c"]),
+    ],
+)
+def test_html_content(page, want):
+    assert html_extract.main_text(page) == "\n".join(x.strip() for x in want)
+
+
+@pytest.mark.parametrize("page", ["<article>" + "<p>word word word</p>" * 60_000, "<main>" * 60_000 + "text", "<i>" * 60_000 + "<p>text" * 2000, "<div class=content><p>a" * 30_000, "</b>" * 100_000 + "<b>" * 50_000 + "</p>" * 50_000, "<p>a<" * 50_000, "&amp" * 100_000])
+def test_html_long_and_deep_pages_take_time_in_proportion(page):
+    start = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_html_long_page_is_whole():
     assert len(html_extract.main_text("<article>" + "<p>word word word</p>" * 20_000).split("\n")) == 20_000
 
 
+def test_html_articles_of_the_tables(spark, sf):
+    """Every article of the tables, cut out by its tags and stripped by a plain pattern."""
+    rows = html_extract.query(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    assert rows
+    for r in rows:
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        words = html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()
+        assert r["text"].split() == words and r["n_chars"] == len(r["text"])
+    empty = spark.read.parquet(f"{sf}/pages.parquet").limit(0)
+    assert html_extract.extract(empty).count() == 0
+
+
 def test_functions_module_is_used(spark):
     assert spark.range(1).select(toxicity.held_out(F.lit(5).cast("long"))).first()[0] == (zlib.crc32(b"5") % 3 == 1)
