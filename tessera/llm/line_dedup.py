@@ -50,7 +50,10 @@ def fingerprints(docs: DataFrame, min_words: int, window: int) -> DataFrame:
     base = _computed(base, "id", "key", "at", "h", "n", grams.alias("grams")).filter(F.size("grams") > 0)  # grams begin at the first lines
     windows = F.sequence(F.lit(1), F.greatest(F.size("grams") - (window - 1), F.lit(1)))
     least = F.transform(windows, lambda j: F.array_min(F.slice("grams", j, F.lit(window))))
-    chosen = F.array_distinct(F.concat(least, F.filter("grams", lambda s: s["n"] == 1)))
+    base = _computed(base, "id", "key", "at", "h", "n", "grams", least.alias("least"))
+    # successive windows share their minima; those that are single lines are chosen anyway
+    minima = F.filter("least", lambda s, j: (s["n"] != 1) & ((j == 0) | (s["i"] != F.get("least", j - 1)["i"])))
+    chosen = F.concat(minima, F.filter("grams", lambda s: s["n"] == 1))
     each = base.select("id", "key", "at", "h", "n", F.size("grams").alias("m"), F.explode(chosen).alias("s"))
     i, n = -F.col("s.i"), F.col("s.n")
     start = F.greatest(i - (window - 1), F.lit(0))
@@ -62,7 +65,7 @@ def fingerprints(docs: DataFrame, min_words: int, window: int) -> DataFrame:
 
 
 def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> DataFrame:
-    """(id, key, gone): numbers of the lines to delete."""
+    """(id, key, n_gone, flags): how many lines to delete, and for each line up to the last of them whether it goes."""
     prints = fingerprints(docs, min_words, window)  # those of equal rows share their place, so none deletes another
     lines = F.slice("at", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, F.col("n") + F.size("back") + F.size("ahead"))
     prints = scratch.write(prints.select("id", "key", "p", "n", "g", "back", "ahead", lines.alias("lines")))
@@ -78,20 +81,31 @@ def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> D
     scratch.drop(prints)
     first = runs.groupBy("g", "to", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("a")).filter("m > 1").drop("m")
     later = runs.join(first, ["g", "to", "h"]).filter(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("key") == F.col("a.key")) & (F.col("p") == F.col("a.p"))))
-    return later.select("id", "key", F.explode("own").alias("line")).groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, window: int = 4) -> DataFrame:
-    """All columns of the documents, with repeated lines deleted from the text; n_lines, n_removed are added."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    found = repeats(scratch, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, window)
-    found = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    both = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__key"]), "left")
-    lines = F.split(docs[text_col], "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
-    count = F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines))
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], count.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = later.select("id", "key", F.explode("own").alias("line")).groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    # built from the gaps between deleted lines, since a search for each line would take lines times deletions
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "gone"), "gone", lambda p, c: F.when(c.isNotNull(), F.concat(F.array_repeat(F.lit(False), c - p - 1), F.array(F.lit(True)))).otherwise(F.array().cast("array<boolean>")))
+    return gone.select("id", "key", F.size("gone").alias("n_gone"), F.flatten(gaps).alias("flags"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, window: int = 4, counts: bool = True) -> DataFrame:
+    """All columns of the documents, with repeated lines deleted from the text.
+
+    With `counts`, n_lines and n_removed are added; columns of the documents with these names are replaced.
+    """
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    id_, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    found = repeats(Scratch(docs.sparkSession, "lines"), given.select(id_.alias("id"), text.alias("text")), min_words, window)
+    found = found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("n_gone").alias("__n"), F.col("flags").alias("__flags"))
+    both = given.join(found, id_.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("__flags", i), F.lit(False)))
+    left = F.when(F.col("__n").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    out = [(left if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]
+    if counts:
+        count = F.when(text.isNull(), 0).otherwise(F.size(lines))
+        out += [count.cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed")]
+    return both.select(*out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
