@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that occur earlier go; n_chars follows the text."""
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, counts=False)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them."""
-    return mixing.Mix(docs, whole=True).mixed().select(*docs.columns)
+    return mixing.Mix(docs, whole=True).mixed(shard_col=None)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,10 +124,42 @@ def test_mixing(spark, rows):
     got = Counter()
     for r in whole.collect():
         got[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
-    assert whole.columns == [*docs.columns, "shard"] and all(abs(got[s] - want[s]) <= max(60, 0.25 * want[s]) for s in want)
+    assert Counter(whole.columns) == Counter([*docs.columns, "shard"]) and all(abs(got[s] - want[s]) <= max(60, 0.25 * want[s]) for s in want)
     assert mixing.Mix(docs.limit(0)).plan().count() == 0
 
 
+def test_mixing_takes_what_the_tree_deals(spark, rows):
+    """Every copy of a block goes to the shard of its place in the tree's draw, and shards are equal in copies."""
+    docs = spark.createDataFrame([(i, "w " * 5, "s") for i in range(4000)], "doc_id long, text string, source string")
+    plan = mixing.Mix(docs, shards=4).plan().collect()
+    assert all(len(r["copies"]) == 1 and r["copies"][0]["words"] == 5 for r in plan)
+    dealt = {(r["copies"][0]["place"], r["copies"][0]["shard"]) for r in plan}
+    assert len(dealt) == 8 and sorted(Counter(s for _, s in dealt).values()) == [2, 2, 2, 2]
+
+
+def test_mixing_clashes_ties_and_hot_sources(spark):
+    rows = [(1, "a b", "s", 9, None), (1, "a b", "s", 9, None), (1, "a b", None, 9, None), (2, None, "s", 9, 1.0), (None, "a b", "s", 9, 1.0), (3, "x " * 30_000, "t", 9, 1.0)]
+    rows += [(10 + i, "same text here", "hot", i % 3, 0.0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, key double")
+    plan = mixing.Mix(docs).plan().withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).collect()
+    assert len(plan) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in plan)
+    got = Counter()
+    for r in plan:
+        got[r["source"]] += r["taken"]
+    assert all(abs(got[r["source"]] - r["target"]) <= 1 for r in plan)
+    mixed = mixing.Mix(docs, whole=True).mixed(shard_col=None)
+    assert mixed.columns == docs.columns
+    known = {tuple(r) for r in docs.collect()}
+    assert {tuple(r) for r in mixed.collect()} <= known
+    assert sorted(mixing.Mix(docs, whole=True).mixed().columns) == sorted(docs.columns)
+
+
+def test_large_draws_are_exact(monkeypatch):
+    rng, own = np.random.default_rng(1), np.array([3 * 10**9, 0, 7, 10**9])
+    out = mixing._draw(rng, own, 10**9)
+    assert out.sum() == 10**9 and (out <= own).all() and abs(out[3] / 10**9 - 0.25) < 0.01
+
+
 def test_targets_share_the_excess(spark):
     docs = spark.createDataFrame([(1, "a " * 10, "a"), (2, "b " * 1000, "b"), (3, "c " * 1000, "c")], "doc_id long, text string, source string")
     plan = {r["source"]: r["target"] for r in mixing.Mix(docs).plan().collect()}
@@ -274,6 +306,20 @@ def test_line_dedup_finds_runs_behind_other_places(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, docs)).collect()} == want
 
 
+def test_line_dedup_clashes_nulls_ties_and_long_texts(spark):
+    line = "a line of eight words that repeats itself here"
+    rows = [(1, f"{line}\n{line}\nx", 5, 6, "k"), (1, f"{line}\ny", 5, 6, "k"), (2, f"z\n{line}", 5, 6, None), (None, line, 5, 6, "k"), (3, None, 5, 6, "k"), (4, "", 5, 6, "k"), (5, "\n".join([line, "b"] * 8_000), 5, 6, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, `__flags` int, c0 string")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "__flags", "c0", "n_lines", "n_removed"]
+    found = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    kept = [t for _, t in found.elements() if t]
+    assert sum(t.count(line) for t in kept) == 1 and (None, line) in found  # the null id comes first
+    assert found[3, None] == found[4, ""] == 1 and (2, "z") in found
+    plain = line_dedup.dedup(df, counts=False)
+    assert plain.columns == df.columns and plain.count() == len(rows)
+
+
 def test_line_dedup_equal_rows(spark):
     text = "a line of eight words that repeats itself here\nother"
     out = line_dedup.dedup(table(spark, [(1, text, "s"), (1, text, "s"), (2, text, "s")])).collect()
