@@ -340,6 +340,15 @@ def test_suffix_dedup(spark, rows, spread, monkeypatch):
             kept, at = kept + r[at:a], b
         want.append((i, len(r), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept + r[at:]).hexdigest()))
     out = suffix_dedup.Dedup(table(spark, rows), length=length, piece=20).run().collect()
+    grams = lambda raw, k: {tuple(raw.split()[p : p + k]) for p in range(len(raw.split()) - k + 1)}
+    held = {k: Counter(g for _, r in raw for g in grams(r, k)) for k in (51, 32)}
+    texts = dict(raw)
+    for r in out:
+        if r["doc_id"] is not None:
+            long_, short = (any(held[k][g] > 1 for g in grams(texts[r["doc_id"]], k)) for k in (51, 32))
+            assert long_ <= (r["n_shared"] > 0) <= short
+    assert sum(r["n_shared"] > 0 for r in out) > 10
+    out = [tuple(r)[:5] for r in out]
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr) and sum(w[2] for w in want) > 5000
 
 
@@ -353,6 +362,28 @@ def test_suffix_ranks():
     assert [count[raw[p : p + 37]] > 1 for p in starts] == again.tolist() and len(set(number.tolist())) == len(count)
 
 
+@pytest.mark.parametrize("n, letters, length", [(3000, 2, 37), (500, 1, 40), (9000, 3, 9), (5, 2, 9), (1, 1, 9)])
+def test_suffix_array_and_kasai(n, letters, length):
+    data = np.random.default_rng(n).integers(0, letters, n).astype(np.uint8)
+    raw, order = data.tobytes(), suffix_dedup.suffix_array(data, length)
+    cut = [raw[i : i + length] for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(n)) and cut == sorted(cut)
+    shared = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(cut, cut[1:])]
+    assert suffix_dedup.common_prefixes(data, order, length).tolist() == shared
+
+
+def test_suffix_merge():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x, shard = rng.integers(-3, 3, (400, 2)), rng.integers(0, 7, 400)
+    _, first = np.unique(np.column_stack([x, shard]), axis=0, return_index=True)  # a shard has each string once
+    x, shard = x[first], shard[first]
+    given = pa.table({"h": np.arange(len(x)), "s": np.arange(len(x)), "a": pa.array(range(len(x)), pa.int32()), "b": pa.array(range(len(x)), pa.int32()), "shard": shard, "x1": x[:, 0], "x2": x[:, 1]})
+    count = Counter(map(tuple, x.tolist()))
+    assert suffix_dedup._merge(given)["h"].to_pylist() == [i for i, k in enumerate(x.tolist()) if count[tuple(k)] > 1]
+
+
 def test_suffix_dedup_empty(spark, rows):
     assert suffix_dedup.Dedup(table(spark, rows).limit(0)).run().count() == 0
 
