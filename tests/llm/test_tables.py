@@ -83,6 +83,19 @@ def test_sharding(spark, rows):
     assert sharding.Propagation(table(spark, rows).limit(0), shards=5).run().count() == 0
 
 
+def test_sharding_hot_group_and_wishes_left(spark):
+    """A third of all rows are copies; everything that could be granted was: no two wishes are opposed, and no free row is left to pay."""
+    texts = ["copy"] * 300 + [f"pair {i // 2}" for i in range(200)] + [f"own {i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, shard int")
+    found = sharding.Propagation(docs, shards=6)
+    out = found.run().toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(out) == 900 and sizes.max() - sizes.min() <= 1 and found.left == 0
+    pairs = out[(out["doc_id"] >= 300) & (out["doc_id"] < 500)].assign(pair=lambda x: x["doc_id"] // 2)
+    assert (pairs.groupby("pair")["shard"].nunique() == 1).all()
+    assert out[out["doc_id"] < 300]["shard"].nunique() <= 3
+
+
 def test_grants_keep_sizes():
     granted, ends = sharding.grants({(0, 1): 5, (1, 0): 2, (2, 1): 4}, {1: 4, 0: 9}, 3)
     assert granted[0][1] == 5 and granted[1][0] == 2 and granted[2][1] == 1 and ends[1] == [3, 3, 4]
