@@ -278,7 +278,7 @@ def decode_tiff(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "media"):
             rows = []
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, raw in enumerate(b.column(1).to_pylist()):
                 try:
                     if raw is None:
                         raise ValueError("null")
@@ -286,13 +286,13 @@ def decode_tiff(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError) as e:
                     rows.append((key, -1, None, None, None, None, None, None, str(e)))
             columns = list(zip(*rows)) if rows else [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            ids = b.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], names)
 
     kind = dict(media.dtypes)[id_col]
     ids = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["id", "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
-    kinds = [id_type, *[pa.int32()] * 6, pa.binary(), pa.string()]
+    kinds = [*[pa.int32()] * 6, pa.binary(), pa.string()]
     return mapped(ids, run, f"id {kind}, page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string").withColumnRenamed("id", id_col)
 
 

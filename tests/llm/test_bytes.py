@@ -93,6 +93,27 @@ def test_tiff_pages_of_a_column(spark):
     assert all(bytes(r["pixels"]) == image.tobytes() for r in out if r["page"] >= 0) and all(r["error"] for r in out if r["page"] < 0)
 
 
+@pytest.mark.parametrize("kind, one", [("double", 1.5), ("binary", b"k"), ("array<string>", ["a"]), ("timestamp", None), ("struct<a:int>", (1,))])
+def test_tiff_ids_of_any_type(spark, kind, one):
+    image = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    df = spark.createDataFrame([(one, tiff.write([image, image])), (None, None)], f"id {kind}, media binary")
+    out = tiff.decode_tiff(df, "id", "media")
+    assert dict(out.dtypes)["id"] == dict(df.dtypes)["id"] and sorted(r["page"] for r in out.collect()) == [-1, 0, 1]
+    assert tiff.decode_tiff(df.limit(0), "id", "media").count() == 0
+
+
+def test_text_media_long_repeated_and_empty(spark):
+    long_ = "añ 12\n" * 400_000
+    df = spark.createDataFrame([(1, long_), (2, long_), (1, long_), (3, "\x00" * 5000)], "doc_id long, text string")
+    out = tiff.digest(df).collect()
+    payload = lambda t: t.encode() + b" " * (-len(t.encode()) % 192)
+    for r in out:
+        own = payload(long_ if r["doc_id"] < 3 else "\x00" * 5000)
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]))
+    assert len(out) == 4 and len({tuple(r)[1:] for r in out}) == 2
+    assert tiff.digest(df.limit(0)).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(text=st.text(max_size=500))
 def test_text_media(text):
