@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 SCHEMA = "chunk_type string, name string, parent string, start_line int, end_line int, content string"
 
 
-def fixed(docs: DataFrame, path: str, text: str, whole: int = 2000, size: int = 1500, most: int = 20) -> DataFrame:
-    """(path, chunk, content): texts longer than `whole` in slices, the first `most` of them, as path#chunkN."""
+def fixed(docs: DataFrame, path: str, text: str, whole: int = 2000, size: int = 1500, most: int | None = None) -> DataFrame:
+    """(path, chunk, content): texts longer than `whole` in slices, as path#chunkN; with `most`, the first ones alone."""
     n = F.length(text)
-    count = F.when(n > whole, F.least(F.lit(most), F.ceil(n / size).cast("int"))).otherwise(1)
+    slices = F.ceil(n / size).cast("int")
+    count = F.when(n > whole, F.least(F.lit(most), slices) if most else slices).otherwise(1)
     each = docs.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"), n.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
     long_ = F.col("n") > whole
     return each.select(F.when(long_, F.concat("path", F.lit("#chunk"), F.col("chunk"))).otherwise(F.col("path")).alias("path"), "chunk", F.when(long_, F.substring(F.col("text"), F.col("chunk") * size + 1, F.lit(size))).otherwise(F.col("text")).alias("content"))

@@ -125,3 +125,50 @@ def embed_text(nodes: DataFrame, edges: DataFrame, most_calls: int = 10, code: i
     calls = edges.filter("type = 'CALLS'").groupBy(F.col("from").alias("id")).agg(F.slice(F.array_sort(F.collect_set("to")), 1, most_calls).alias("calls"))
     line = F.when(F.size("calls") > 0, F.concat(F.lit("Calls: "), F.array_join("calls", ", ")))
     return nodes.join(calls, "id", "left").select("id", F.concat_ws("\n", F.concat_ws(" ", "type", "name"), F.substring("code", 1, code), line).alias("embed_text"))
+
+
+def query(nodes: DataFrame, equal: dict[str, object], where: Column | None = None, k: int | None = None, order: list[str] = ()) -> DataFrame:
+    """Nodes whose fields have the given values and that `where` keeps; the first k in the given order."""
+    for name, value in equal.items():
+        nodes = nodes.filter(F.col(name) == F.lit(value))
+    nodes = nodes.filter(where) if where is not None else nodes
+    return nodes.orderBy(*order).limit(k) if k else nodes
+
+
+def upsert(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """New nodes replace those with their id, others are added."""
+    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def investigation_impact(hypotheses: DataFrame) -> DataFrame:
+    """(thread, hypotheses, files): for each thread, its hypotheses (thread, hypothesis, files) that affect files."""
+    return hypotheses.filter("files > 0").groupBy("thread").agg(F.count(F.lit(1)).alias("hypotheses"), F.sum("files").alias("files"))
+
+
+#: The perspectives that a request may name.
+PERSPECTIVES = ("technical", "investigation", "narrative")
+
+
+def by_perspective(nodes: DataFrame, perspective: str, k: int, most: int = 100) -> DataFrame:
+    """Ids of the first k nodes (100 at most) with a perspective."""
+    if perspective not in PERSPECTIVES:
+        raise ValueError(f"unknown perspective: {perspective}")
+    return nodes.filter(F.col("perspectives")[perspective].isNotNull()).select("id").orderBy("id").limit(min(k, most))
+
+
+def cross_count(related: DataFrame, source: str, target: str) -> DataFrame:
+    """(relationship, n) between nodes whose ids start as given."""
+    return related.filter(F.col("source").startswith(source) & F.col("target").startswith(target)).groupBy("relationship").agg(F.count(F.lit(1)).alias("n"))
+
+
+def neighbour_arrays(edges: DataFrame, most: int = 50) -> DataFrame:
+    """(id, calls, called_by): the first `most` distinct neighbours each way, by name; no more than these are gathered."""
+
+    def first(key: str, other: str, name: str) -> DataFrame:
+        each = edges.select(F.col(key).alias("id"), F.col(other).alias("x")).distinct()
+        kept = each.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("x"))).filter(F.col("n") <= most)
+        return kept.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    out = first("from", "to", "calls").join(first("to", "from", "called_by"), "id", "full")
+    none = F.array().cast("array<string>")
+    return out.select("id", F.coalesce("calls", none).alias("calls"), F.coalesce("called_by", none).alias("called_by"))

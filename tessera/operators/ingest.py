@@ -22,14 +22,15 @@ def dedup(index: DataFrame, by_path: bool = True) -> DataFrame:
     return renumber(kept, "idx")
 
 
-def renumber(df: DataFrame, column: str) -> DataFrame:
-    """Replaces an ordering column by 0, 1, 2, ... without a single sorting task: ranks within ranges, plus the rows of
-    smaller ranges."""
-    spread = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    cut = df.crossJoin(F.broadcast(spread)).withColumn("__b", F.floor((F.col(column) - F.col("lo")) * 256 / (F.col("hi") - F.col("lo") + 1))).drop("lo", "hi")
+def renumber(df: DataFrame, column: str, ties: list[str] = (), rows: int = 100_000) -> DataFrame:
+    """Replaces an ordering column (a number) by 0, 1, 2, ... without a single sorting task: ranks within ranges of about
+    `rows` rows, cut at quantiles whatever the skew, plus the rows of smaller ranges. Equal values go by `ties`."""
+    n = df.count()
+    cuts = sorted(set(df.approxQuantile(column, [i / (1 + n // rows) for i in range(1, 1 + n // rows)], 0.001 if n > rows else 0.01))) if n > rows else []
+    cut = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(column))) if cuts else F.lit(0))
     sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = cut.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(column)) - 1)
+    ranked = cut.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(column, *ties)) - 1)
     return ranked.join(F.broadcast(before), "__b").withColumn(column, (F.col("__r") + F.col("__before")).cast("long")).drop("__b", "__r", "__before")
 
 

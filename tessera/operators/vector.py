@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, squared_distance
 
 
+#: Queries that one pass over the vectors holds.
+BLOCK_QUERIES = 8192
+
+
 def _doubles(name: str) -> Column:
     return F.col(name).cast("array<double>")
 
@@ -45,32 +51,47 @@ def knn_live(vectors: DataFrame, dead: DataFrame, query: Column, k: int, overfet
 
 
 def knn_by_queries(vectors: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank by cosine for a table of queries (query_id, q), in blocks of vectors.
+    """query_id, id, score, rank by cosine for a table of queries (query_id, q), in blocks of vectors and queries.
 
-    Each task reads its vectors once for a block of queries; only its k best per query leave it.
+    Blocks of BLOCK_QUERIES queries go through all vectors in turn: queries are dealt to numbered blocks, and each pass
+    holds one of them. Only a task's k best per query leave it.
     """
     import numpy as np
     import pyarrow as pa
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    blocks = [(r["query_id"], r["q"]) for r in queries.limit(4096).collect()]
-    if queries.count() > 4096:
-        raise ValueError("more than 4096 queries: pass them in parts")
-    sc = vectors.sparkSession.sparkContext
-    given = sc.broadcast((np.array([q for q, _ in blocks]), np.array([v for _, v in blocks], float).reshape(-1, dim)))
-
-    def run(batches):
-        ids, q = given.value
-        qn = np.linalg.norm(q, axis=1)
-        for b in batches:
-            x = np.asarray(b.column(1).flatten(), float).reshape(-1, dim)
-            own = np.asarray(b.column(0))
-            both = qn[:, None] * np.linalg.norm(x, axis=1)[None]
-            s = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
-            rows = [(i, own[j], s[n, j]) for n, i in enumerate(ids.tolist()) for j in np.lexsort((own, -np.round(s[n], 9)))[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], b.column(0).type), pa.array([r[2] for r in rows], pa.float64())], ["query_id", id_col, "score"])
-
-    near = vectors.filter(F.size(vector_col) == dim).select(id_col, _doubles(vector_col)).mapInArrow(run, f"query_id long, {id_col} {kinds[id_col]}, score double")
+    kept = vectors.filter(F.size(vector_col) == dim).select(id_col, _doubles(vector_col))
+    n = queries.count()
+    blocks = max(1, -(-n // (BLOCK_QUERIES // 2)))  # about half full, so that hashing overfills none
+    sc, parts = vectors.sparkSession.sparkContext, []
+    for block in range(blocks):
+        own_queries = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows_ = own_queries.collect()
+        given = sc.broadcast((np.array([r["query_id"] for r in rows_]), np.array([r["q"] for r in rows_], float).reshape(-1, dim)))
+
+        def run(batches, given=given):
+            ids, q = given.value
+            qn = np.linalg.norm(q, axis=1)
+            for b in batches:
+                x = np.asarray(b.column(1).flatten(), float).reshape(-1, dim)
+                own = np.asarray(b.column(0))
+                both = qn[:, None] * np.linalg.norm(x, axis=1)[None]
+                s = np.divide(q @ x.T, both, out=np.zeros_like(both), where=both > 0)
+                rank = -np.round(s, 9)
+                m = min(k, len(own))
+                row, column = [], []
+                if len(own) and len(ids):
+                    edge = np.partition(rank, m - 1, axis=1)[:, m - 1]
+                    for i in range(len(ids)):  # all that tie with the last one compete by id
+                        at = np.flatnonzero(rank[i] <= edge[i])
+                        at = at[np.lexsort((own[at], rank[i][at]))[:m]]
+                        row.append(np.full(len(at), i))
+                        column.append(at)
+                row, column = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (row, column))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row] if len(ids) else [], pa.int64()), b.column(0).take(pa.array(column)), pa.array(s[row, column], pa.float64())], ["query_id", id_col, "score"])
+
+        parts.append(kept.mapInArrow(run, f"query_id long, {id_col} {kinds[id_col]}, score double"))
+    near = reduce(DataFrame.union, parts)
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), id_col)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

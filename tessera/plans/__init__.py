@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("search", "ingest", "state", "graph", "activity", "extra")
+MODULES = ("search", "ingest", "state", "graph", "activity", "extra", "service")
 
 
 def queries() -> dict:

@@ -65,7 +65,7 @@ def memory_query(spark, sf):
 
 def access_count(spark, sf):
     hits = _events(spark, sf).filter("event_type = 'view'").select(F.col("user_id").alias("id"), "ts")
-    out = activity.count_access(_memories(spark, sf).filter("id < 200"), hits)
+    out = activity.count_access(_memories(spark, sf), hits)
     return out.select("id", "access_count", F.unix_micros("last_accessed").alias("last_accessed"))
 
 
@@ -189,7 +189,7 @@ SELECT event_type, n::INT AS n, round(x[n // 2 + 1], 2) AS p50, round(CASE WHEN
     "memory_archive": f"WITH {_M} SELECT id, CASE WHEN tier = 'working' AND ts < TIMESTAMP '2024-01-13' THEN 'archival' ELSE tier END AS tier FROM m",
     "memory_stats": f"WITH {_M} SELECT type, tier, count(*) AS n FROM m GROUP BY 1, 2",
     "memory_query": f"WITH {_M}, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM m JOIN embeddings ON vec_id = id, q WHERE type = 'click' AND tier = 'archival') SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM s WHERE score >= 0.05 ORDER BY rank LIMIT 5",
-    "access_count": f"WITH {_M}, h AS (SELECT user_id AS id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id, coalesce(n, 0) AS access_count, epoch_us(t) AS last_accessed FROM m LEFT JOIN h ON h.id = m.id WHERE m.id < 200",
+    "access_count": f"WITH {_M}, h AS (SELECT user_id AS id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id, coalesce(n, 0) AS access_count, epoch_us(t) AS last_accessed FROM m LEFT JOIN h ON h.id = m.id",
     "handoffs": f"WITH {_M} SELECT id FROM m WHERE type = 'handoff' AND \"to\" = 'u2' AND id % 3 <> 0",
     "recent_search": f"WITH {_T} SELECT role, seq FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY seq DESC) AS k FROM b WHERE contains(lower(text), 'the')) WHERE k <= 10",
     "session_messages": f"WITH {_T} SELECT role, turn, substr(text, 1, 100) AS preview FROM b WHERE conv_id = 95",

@@ -66,7 +66,7 @@ def freeze(spark, sf):
 
 
 def snapshot_stats(spark, sf):
-    return _t(spark, sf, "events").filter("event_id % 100 = 0").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / 1024, 2).alias("total"), F.date_format(F.max("ts"), "yyyyMMddHHmmss").alias("newest"), F.date_format(F.min("ts"), "yyyyMMddHHmmss").alias("oldest"))
+    return _t(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / 1024, 2).alias("total"), F.date_format(F.max("ts"), "yyyyMMddHHmmss").alias("newest"), F.date_format(F.min("ts"), "yyyyMMddHHmmss").alias("oldest"))
 
 
 def cache_size(spark, sf):
@@ -108,7 +108,7 @@ ORACLE = {
     "payload_fields": "SELECT doc_id, source AS path, lang AS text, CASE WHEN doc_id % 3 = 0 THEN round(doc_id / 7, 4) END AS score FROM documents",
     "category_files": r"WITH p AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages), k AS (SELECT * FROM p WHERE NOT contains(path, '/de/')) SELECT DISTINCT 'french' AS category, path FROM k WHERE contains(path, '/fr/') UNION SELECT 'english', path FROM k WHERE contains(path, '/en/') UNION SELECT 'mobile', path FROM k WHERE starts_with(path, 'm.') OR starts_with(split_part(path, '/', -1), 'm.')",
     "freeze": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus IN ('O', 'F') THEN 'frozen' WHEN o_orderstatus = 'O' THEN 'proposed' WHEN o_orderstatus = 'F' THEN 'active' ELSE 'superseded' END AS status FROM orders",
-    "snapshot_stats": "SELECT count(*) AS n, round(sum(value) / 1024, 2) AS total, strftime(max(ts), '%Y%m%d%H%M%S') AS newest, strftime(min(ts), '%Y%m%d%H%M%S') AS oldest FROM events WHERE event_id % 100 = 0",
+    "snapshot_stats": "SELECT count(*) AS n, round(sum(value) / 1024, 2) AS total, strftime(max(ts), '%Y%m%d%H%M%S') AS newest, strftime(min(ts), '%Y%m%d%H%M%S') AS oldest FROM events",
     "cache_size": "SELECT round(sum(len(embedding) * 4) / 1048576, 2) AS mb FROM embeddings",
     "chunk_python": "SELECT k AS chunk_type, (SELECT count(*) FROM supplier) AS n, a::INT AS first, b::INT AS last FROM (VALUES ('module', 1, 3), ('class', 4, 4), ('method', 5, 7), ('function', 8, 10)) v(k, a, b)",
     "chunk_powershell": "SELECT 'function' AS chunk_type, count(*) AS n, 2 AS first, 5 AS last FROM supplier",

@@ -74,21 +74,21 @@ def graph_call_chain(spark, sf):
 
 def graph_traverse(spark, sf):
     steps = _edges(spark, sf).filter("type = 'CONTAINS'").select("from", "to")
-    starts = _t(spark, sf, "region").filter("r_regionkey < 3").select(_tag("r", "r_regionkey").alias("id"))
+    starts = _t(spark, sf, "region").select(_tag("r", "r_regionkey").alias("id"))
     return graph.traverse(starts, steps, 3).select(F.array_join("path", ">").alias("path"), "n")
 
 
 def graph_traverse_reverse(spark, sf):
     steps = _edges(spark, sf).filter("type = 'CONTAINS'").select("from", "to")
-    starts = _t(spark, sf, "customer").filter("c_custkey % 50 = 0").select(_tag("c", "c_custkey").alias("id"))
+    starts = _t(spark, sf, "customer").select(_tag("c", "c_custkey").alias("id"))
     return graph.traverse(starts, steps, 3, reverse=True).select(F.array_join("path", ">").alias("path"), "n")
 
 
 def graph_connections(spark, sf):
-    """From five suppliers along calls, back and forth."""
-    calls = _edges(spark, sf).filter("type = 'CALLS' and pmod(cast(substring(to, 2) as long), 10) = 0").select("from", "to").distinct()
+    """From one supplier along all calls, back and forth."""
+    calls = _edges(spark, sf).filter("type = 'CALLS'").select("from", "to").distinct()
     both = calls.union(calls.select("to", "from"))
-    starts = _t(spark, sf, "supplier").filter("s_suppkey <= 5").select(_tag("s", "s_suppkey").alias("id"))
+    starts = _t(spark, sf, "supplier").filter("s_suppkey = 1").select(_tag("s", "s_suppkey").alias("id"))
     return graph.connections(starts, both, 4).groupBy("start", "n").agg(F.count(F.lit(1)).alias("reached"))
 
 
@@ -151,9 +151,9 @@ ORACLE = {
     "graph_stats": f"WITH {_N}, {_CONTAINS}, {_CALLS}, {_IMPORTS} SELECT type, count(*) AS n, 'node' AS kind FROM nodes GROUP BY 1 UNION ALL SELECT 'CONTAINS', count(*), 'edge' FROM contains UNION ALL SELECT 'CALLS', count(*), 'edge' FROM calls UNION ALL SELECT 'IMPORTS', count(*), 'edge' FROM imports",
     "graph_impact": f"WITH {_IMPORTS}, one AS (SELECT DISTINCT f AS id FROM imports WHERE contains(t, 'r1')), two AS (SELECT DISTINCT f AS id FROM imports WHERE t IN (SELECT id FROM one) AND f NOT IN (SELECT id FROM one)) SELECT id, 1 AS hop FROM one UNION ALL SELECT id, 2 FROM two",
     "graph_call_chain": f"WITH RECURSIVE {_CONTAINS}, p AS (SELECT ['r' || r_regionkey] AS path, 'r' || r_regionkey AS e, 0 AS n FROM region UNION ALL SELECT list_append(path, t), t, n + 1 FROM p JOIN contains ON e = f WHERE n < 5 AND NOT ends_with(e, '7') AND NOT list_contains(path, t)) SELECT array_to_string(path, '>') AS path, n FROM p WHERE n > 0 AND ends_with(e, '7')",
-    "graph_traverse": "SELECT 'r' || n_regionkey || '>n' || n_nationkey || '>c' || c_custkey AS path, 2 AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey < 3 UNION ALL SELECT 'r' || n_regionkey || '>n' || n_nationkey, 1 FROM nation WHERE n_regionkey < 3 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer)",
-    "graph_traverse_reverse": "SELECT 'c' || c_custkey || '>n' || n_nationkey || '>r' || n_regionkey AS path, 2 AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0",
-    "graph_connections": f"""WITH RECURSIVE {_CALLS}, c AS (SELECT DISTINCT f, t FROM calls WHERE substr(t, 2)::BIGINT % 10 = 0), steps AS (SELECT f, t FROM c UNION SELECT t, f FROM c), w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS e, 0 AS n FROM supplier WHERE s_suppkey <= 5 UNION SELECT start, t, n + 1 FROM w JOIN steps ON e = f WHERE n < 3), m AS (SELECT start, e, min(n) AS n FROM w GROUP BY 1, 2)
+    "graph_traverse": "SELECT 'r' || n_regionkey || '>n' || n_nationkey || '>c' || c_custkey AS path, 2 AS n FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT 'r' || n_regionkey || '>n' || n_nationkey, 1 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)",
+    "graph_traverse_reverse": "SELECT 'c' || c_custkey || '>n' || n_nationkey || '>r' || n_regionkey AS path, 2 AS n FROM nation JOIN customer ON c_nationkey = n_nationkey",
+    "graph_connections": f"""WITH RECURSIVE {_CALLS}, c AS (SELECT DISTINCT f, t FROM calls), steps AS (SELECT f, t FROM c UNION SELECT t, f FROM c), w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS e, 0 AS n FROM supplier WHERE s_suppkey = 1 UNION SELECT start, t, n + 1 FROM w JOIN steps ON e = f WHERE n < 3), m AS (SELECT start, e, min(n) AS n FROM w GROUP BY 1, 2)
 SELECT start, n, count(*) AS reached FROM m WHERE n > 0 GROUP BY 1, 2""",
     "cross_query": f"WITH {_R}, nodes AS (SELECT 'o' || o_orderkey AS id FROM orders UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_nationkey < 12) SELECT source, relationship, target, round(coalesce(strength, 1), 6) AS strength FROM related WHERE coalesce(strength, 1) >= 0.5 AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)",
     "hypothesis_support": f"WITH {_R} SELECT a.source AS hypothesis, a.target AS evidence, b.target AS code, round(a.strength * b.strength, 6) AS confidence FROM related a JOIN related b ON a.target = b.source WHERE a.relationship IN ('supported_by', 'evidenced_by') AND b.relationship = 'cites' AND a.strength IS NOT NULL",

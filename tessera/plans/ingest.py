@@ -70,8 +70,8 @@ def doc_upsert_version(spark, sf):
 
 def incremental_update(spark, sf):
     h = _hashed(spark, sf)
-    index = h.filter("doc_id < 500").select(F.col("doc_id").alias("id"), "path", "hash", (F.col("doc_id") % 9 == 0).alias("deleted"))
-    return ingest.incremental_update(index, h.filter("doc_id >= 500").select(F.col("doc_id").alias("seq"), "path", "hash"))
+    index = h.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "path", "hash", (F.col("doc_id") % 9 == 0).alias("deleted"))
+    return ingest.incremental_update(index, h.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("seq"), "path", "hash"))
 
 
 def compact_renumber(spark, sf):
@@ -159,17 +159,17 @@ ORACLE = {
     "content_changed": f"WITH {_HALVES} SELECT n.path, o.hash IS DISTINCT FROM n.hash AS is_changed, o.hash IS NOT NULL AS was_known FROM new n LEFT JOIN (SELECT * FROM old WHERE NOT deleted) o ON o.path = n.path",
     "unchanged_skip": f"WITH {_H} SELECT path, doc_id AS mtime, n_chars AS size FROM h WHERE doc_id % 2 <> 0",
     "doc_upsert_version": f"WITH {_HALVES} SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NULL THEN o.hash ELSE n.hash END AS hash, CASE WHEN n.path IS NULL THEN o.version ELSE coalesce(o.version, 0) + 1 END AS version, CASE WHEN n.path IS NULL THEN o.size ELSE n.size END AS size, n.path IS NULL AND o.deleted AS deleted FROM old o FULL JOIN new n ON o.path = n.path",
-    "incremental_update": f"""WITH {_H}, i AS (SELECT doc_id AS id, path, hash, doc_id % 9 = 0 AS deleted FROM h WHERE doc_id < 500),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_id DESC) AS n FROM h WHERE doc_id >= 500) WHERE n = 1) WHERE m = 1 AND hash NOT IN (SELECT hash FROM i WHERE NOT deleted))
+    "incremental_update": f"""WITH {_H}, i AS (SELECT doc_id AS id, path, hash, doc_id % 9 = 0 AS deleted FROM h WHERE doc_id % 2 = 0),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_id DESC) AS n FROM h WHERE doc_id % 2 = 1) WHERE n = 1) WHERE m = 1 AND hash NOT IN (SELECT hash FROM i WHERE NOT deleted))
 SELECT id, path, hash, deleted OR path IN (SELECT path FROM f) AS deleted FROM i UNION ALL SELECT row_number() OVER (ORDER BY doc_id) - 1 + (SELECT coalesce(max(id) + 1, 0) FROM i), path, hash, false FROM f""",
     "compact_renumber": f"WITH {_H} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, path, hash FROM h WHERE doc_id % 3 <> 0",
-    "store_stats": "SELECT count(*) FILTER (doc_id % 5 <> 0) AS live, count(*) FILTER (doc_id % 5 = 0) AS deleted, coalesce(sum(n_chars) FILTER (doc_id % 5 <> 0), 0)::BIGINT AS bytes, sum(CASE WHEN length(text) > 2000 THEN least(20, ceil(length(text) / 1500)) ELSE 1 END)::BIGINT AS chunks FROM documents",
+    "store_stats": "SELECT count(*) FILTER (doc_id % 5 <> 0) AS live, count(*) FILTER (doc_id % 5 = 0) AS deleted, coalesce(sum(n_chars) FILTER (doc_id % 5 <> 0), 0)::BIGINT AS bytes, sum(CASE WHEN length(text) > 2000 THEN ceil(length(text) / 1500) ELSE 1 END)::BIGINT AS chunks FROM documents",
     "store_languages": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1",
     "index_stats": f"WITH {_H} SELECT count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS active, count(*) FILTER (doc_id % 3 = 0) AS deleted, count(DISTINCT path) AS paths FROM h",
     "embed_cache_join": f"WITH {_H}, c AS (SELECT hash, min_by(embedding, vec_id) AS embedding FROM embeddings JOIN h ON vec_id = doc_id WHERE vec_id % 2 = 0 GROUP BY 1) SELECT doc_id, embedding IS NOT NULL AS hit, round(embedding[1], 6) AS first FROM h LEFT JOIN c USING (hash)",
     "cache_prune": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-13'",
     "cache_stats": "SELECT count(*) AS entries, sum(strlen(props))::BIGINT AS bytes, round(count(*) FILTER (event_id % 3 > 0) * 100 / count(*), 1) AS hit_rate FROM events",
     "language_map": "SELECT page_id, ['python', 'typescript', 'markdown', 'shell', NULL, 'yaml'][page_id % 6 + 1] AS language FROM pages",
-    "chunk_fixed": "WITH c AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) > 2000 THEN least(20, ceil(length(text) / 1500))::BIGINT ELSE 1 END)) AS chunk FROM documents), t AS (SELECT CASE WHEN length(text) > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, chunk::INT AS chunk, CASE WHEN length(text) > 2000 THEN substr(text, chunk * 1500 + 1, 1500) ELSE text END AS content FROM c) SELECT path, chunk, length(content)::INT AS n, md5(content) AS md5 FROM t",
-    "metadata_enrich": "WITH c AS (SELECT doc_id, length(text) AS l, unnest(range(CASE WHEN length(text) > 2000 THEN least(20, ceil(length(text) / 1500))::BIGINT ELSE 1 END)) AS chunk FROM documents) SELECT CASE WHEN l > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, CASE WHEN doc_id % 3 + 1 < 3 THEN doc_id % 3 + 1 END AS version FROM c",
+    "chunk_fixed": "WITH c AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) > 2000 THEN ceil(length(text) / 1500)::BIGINT ELSE 1 END)) AS chunk FROM documents), t AS (SELECT CASE WHEN length(text) > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, chunk::INT AS chunk, CASE WHEN length(text) > 2000 THEN substr(text, chunk * 1500 + 1, 1500) ELSE text END AS content FROM c) SELECT path, chunk, length(content)::INT AS n, md5(content) AS md5 FROM t",
+    "metadata_enrich": "WITH c AS (SELECT doc_id, length(text) AS l, unnest(range(CASE WHEN length(text) > 2000 THEN ceil(length(text) / 1500)::BIGINT ELSE 1 END)) AS chunk FROM documents) SELECT CASE WHEN l > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, CASE WHEN doc_id % 3 + 1 < 3 THEN doc_id % 3 + 1 END AS version FROM c",
 }

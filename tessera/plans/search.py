@@ -14,7 +14,9 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _index(spark, sf):
-    return keyword.build(_read(spark, sf, "documents"), "doc_id", "text")
+    """The saved index of the documents, in the shared folder or the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return keyword.kept(_read(spark, sf, "documents"), "doc_id", "text", f"{root}/tessera-index")
 
 
 def _queries(spark, sf):
@@ -128,8 +130,8 @@ def needs_fallback(spark, sf):
 def merge_fallback(spark, sf):
     """Local: keyword hits by source; cloud: the labelled documents of the same sources."""
     docs = _read(spark, sf, "documents")
-    local = docs.select(F.lit(0).alias("q"), F.col("source").alias("path"), F.round(F.col("n_chars") / 40000, 6).alias("score"), F.col("doc_id").alias("pos"), F.lit(None).cast("string").alias("source")).filter("pos % 3 = 0")
-    cloud = docs.select(F.lit(0).alias("q"), F.concat("source", F.lit("/"), "lang").alias("path"), F.round(F.col("n_chars") / 30000, 6).alias("score"), F.col("doc_id").alias("pos"), F.lit("cloud").alias("source")).filter("pos % 3 = 1")
+    local = docs.select(F.lit(0).alias("q"), F.col("source").alias("path"), F.round(F.col("n_chars") / 40000, 6).alias("score"), F.col("doc_id").alias("pos"), F.lit(None).cast("string").alias("source")).filter("pos % 2 = 0")
+    cloud = docs.select(F.lit(0).alias("q"), F.concat("source", F.lit("/"), "lang").alias("path"), F.round(F.col("n_chars") / 30000, 6).alias("score"), F.col("doc_id").alias("pos"), F.lit("cloud").alias("source")).filter("pos % 2 = 1")
     cloud = cloud.unionByName(local.withColumn("source", F.lit("cloud")).withColumn("score", F.col("score") * 2))
     return fusion.merge(local, cloud, 25, "local", ["q"]).select("path", F.round("score", 6).alias("score"), "source", "rank")
 
@@ -216,8 +218,8 @@ ORACLE = {
     "rrf_fusion": f"WITH {sql.bm25(20)}, {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused",
     "hybrid_search": f"WITH {sql.bm25(20)}, {_FUSED}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id)::INT AS rank FROM fused) SELECT query_id, id, round(score, 9) AS score, rank, substr(text, 1, 200) AS preview FROM top LEFT JOIN documents ON id = doc_id WHERE rank <= 10",
     "needs_fallback": f"WITH {sql.bm25(10)} SELECT query_id, count(*) < 3 OR min_by(round(score / 100, 6), rank) < 0.45 AS fallback FROM bm25 GROUP BY 1",
-    "merge_fallback": """WITH local AS (SELECT source AS path, round(n_chars / 40000, 6) AS score, doc_id AS pos, NULL AS source, 0 AS list FROM documents WHERE doc_id % 3 = 0),
-cloud AS (SELECT source || '/' || lang AS path, round(n_chars / 30000, 6) AS score, doc_id AS pos, 'cloud' AS source, 1 AS list FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT path, score * 2, pos, 'cloud', 1 FROM local),
+    "merge_fallback": """WITH local AS (SELECT source AS path, round(n_chars / 40000, 6) AS score, doc_id AS pos, NULL AS source, 0 AS list FROM documents WHERE doc_id % 2 = 0),
+cloud AS (SELECT source || '/' || lang AS path, round(n_chars / 30000, 6) AS score, doc_id AS pos, 'cloud' AS source, 1 AS list FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT path, score * 2, pos, 'cloud', 1 FROM local),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY list, pos) AS n FROM (SELECT * FROM local UNION ALL SELECT * FROM cloud)) WHERE n = 1)
 SELECT * FROM (SELECT path, round(score, 6) AS score, coalesce(source, 'local') AS source, row_number() OVER (ORDER BY score DESC, list, pos)::INT AS rank FROM once) WHERE rank <= 25""",
     "helix_fusion": f"""WITH {sql.bm25(10)}, united AS (SELECT 'm' || event_id AS id, round((CASE WHEN value - 5 >= 0 THEN 1 / (1 + (value - 5)) ELSE 0.5 END) * (CASE WHEN event_type = 'error' THEN 8 ELSE 12 END), 6) AS score FROM events UNION ALL SELECT 'd' || id, round(score / 100, 6) FROM bm25 WHERE query_id = 0)

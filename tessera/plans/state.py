@@ -100,12 +100,12 @@ def wal_replay_state(spark, sf):
 
 
 def snapshot_prune(spark, sf):
-    names = _events(spark, sf).filter("event_id % 100 = 0").select(F.date_format("ts", "yyyyMMddHHmmss").alias("name"), "event_id")
+    names = _events(spark, sf).select(F.date_format("ts", "yyyyMMddHHmmss").alias("name"), "event_id")
     return log.prune(names, 24)
 
 
 def recovery_check(spark, sf):
-    return log.consistent(spark.read.parquet(f"{sf}/embeddings.parquet"), spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 580"))
+    return log.consistent(spark.read.parquet(f"{sf}/embeddings.parquet"), spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (lww_register, lww_map, orset_merge, vclock_merge, vclock_compare, truth_classify, truth_stats, truth_history, roundtable_timeouts, roundtable_outcome, wal_unapplied, wal_checksum, wal_compact, wal_stats, wal_replay_state, snapshot_prune, recovery_check)}
@@ -133,6 +133,6 @@ SELECT o_orderkey, CASE WHEN h1 IS NULL THEN 'new' WHEN o_orderstatus = 'F' THEN
     "wal_stats": f"WITH {_L} SELECT operation, count(*) AS n, count(*) FILTER (NOT applied) AS pending, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM s GROUP BY 1",
     "wal_replay_state": f"""WITH {_L}, v AS (SELECT * FROM s WHERE NOT applied AND id > 500 AND id % 11 <> 0), net AS (SELECT doc_id, max_by(operation, id) AS operation, max_by(payload, id) AS payload FROM v GROUP BY 1), snap AS (SELECT unnest(range(40)) AS doc_id, 'old' AS payload)
 SELECT coalesce(snap.doc_id, net.doc_id) AS doc_id, CASE WHEN net.doc_id IS NOT NULL THEN net.payload ELSE snap.payload END AS payload FROM snap FULL JOIN net ON snap.doc_id = net.doc_id WHERE coalesce(operation, 'add') <> 'delete'""",
-    "snapshot_prune": "SELECT strftime(ts, '%Y%m%d%H%M%S') AS name, event_id FROM events WHERE event_id % 100 = 0 ORDER BY ts DESC LIMIT 24",
-    "recovery_check": "SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents WHERE doc_id < 580) AS chunks, abs((SELECT count(*) FROM embeddings) - (SELECT count(*) FROM documents WHERE doc_id < 580)) <= 100 AS consistent",
+    "snapshot_prune": "SELECT strftime(ts, '%Y%m%d%H%M%S') AS name, event_id FROM events ORDER BY ts DESC LIMIT 24",
+    "recovery_check": "SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents) AS chunks, abs((SELECT count(*) FROM embeddings) - (SELECT count(*) FROM documents)) <= 100 AS consistent",
 }
