@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_text
-from ..functions.vectors import add, cosine, norm
+from ..functions.vectors import cosine, norm
 
 
 def last_n(rows: DataFrame, key: str | list[str], order: str, n: int) -> DataFrame:
@@ -64,26 +66,34 @@ def search_recent(log: DataFrame, key: str, order: str, text: str, needle: str,
     return last_n(last_n(log, key, order, buffer).filter(contains_text(F.col(text), needle)), key, order, k)
 
 
-def velocities(positions: DataFrame, agent: str, seq: str, seconds: str, vector: str, dim: int, weight: float = 0.3) -> DataFrame:
+def velocities(positions: DataFrame, agent: str, seq: str, seconds: str, vector: str, dim: int, weight: float = 0.3, rows: int = 10_000, lead: int = 256) -> DataFrame:
     """(agent, seq, velocity, speed): an exponential mean of the change of position a second, in order for each agent.
 
-    A step without time keeps the velocity; the first is 0. An agent's whole track is one array, so tracks are bounded
-    by the state that an agent may hold; the streaming form keeps the last position only.
+    A step without time keeps the velocity; the first is 0. A track is folded in stretches of `rows` steps, each led in
+    by the `lead` steps before it: what lies further back weighs (1 - weight) ** lead, below a double's precision
+    unless most of these steps take no time.
     """
     order = W.partitionBy(agent).orderBy(seq)
-    steps = positions.withColumn("__dt", F.col(seconds) - F.lag(seconds).over(order)).withColumn("__p", F.lag(vector).over(order))
-    raw = F.when(F.col("__dt") > 0, F.zip_with(vector, "__p", lambda a, b: (a - b) / F.col("__dt")))
-    track = steps.groupBy(agent).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), raw.alias("raw")))).alias("track"))
-    zero = F.array(*[F.lit(0.0)] * dim)
-    start = F.array().cast(f"array<struct<seq:{dict(positions.dtypes)[seq]},v:array<double>>>")
-
-    def step(done: Column, x: Column) -> Column:
-        before = F.coalesce(F.get(done, F.size(done) - 1)["v"], zero)
-        v = F.when(x["raw"].isNull(), before).otherwise(add(x["raw"], before, weight, 1 - weight))
-        return F.concat(done, F.array(F.struct(x["seq"].alias("seq"), v.alias("v"))))
-
-    out = track.select(agent, F.explode(F.aggregate("track", start, step)).alias("s"))
-    return out.select(agent, F.col("s.seq").alias(seq), F.col("s.v").alias("velocity"), norm(F.col("s.v")).alias("speed"))
+    dt, before = F.col(seconds) - F.lag(seconds).over(order), F.lag(vector).over(order)
+    steps = positions.select(F.col(agent).alias("agent"), F.col(seq).alias("seq"), dt.alias("dt"), F.col(vector).alias("v"), before.alias("p"), (F.row_number().over(order) - 1).alias("n"))
+    raw = F.when(F.col("dt") > 0, F.zip_with("v", "p", lambda a, b: (a - b) / F.col("dt")))
+    part = F.floor(F.col("n") / rows)
+    parts = F.when(F.col("n") % rows >= rows - lead, F.array(part, part + 1)).otherwise(F.array(part))
+    each = steps.select("agent", "seq", raw.alias("raw"), part.alias("own"), F.explode(parts).alias("part"))
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        now, out = np.zeros(dim), []
+        for x in frame["raw"]:
+            if x is not None:
+                now = weight * np.asarray(x, float) + (1 - weight) * now
+            out.append(now)
+        mine = (frame["own"] == frame["part"]).to_numpy()
+        kept = [v.tolist() for v, m in zip(out, mine) if m]
+        return pd.DataFrame({agent: frame["agent"][mine], seq: frame["seq"][mine], "velocity": pd.Series(kept, dtype=object, index=frame.index[mine]), "speed": np.array([np.sqrt(sum(x * x for x in v)) for v in kept], float)})
+
+    kinds = dict(positions.dtypes)
+    return each.groupBy("agent", "part").applyInPandas(fold, f"{agent} {kinds[agent]}, {seq} {kinds[seq]}, velocity array<double>, speed double")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -148,11 +158,20 @@ def coherence(positions: DataFrame, vector: str) -> DataFrame:
     return n.crossJoin(F.broadcast(sums)).select("agents", F.when(F.col("agents") > 1, (F.col("q") - F.col("agents")) / (F.col("agents") * (F.col("agents") - 1))).alias("coherence"))
 
 
-def rounds(entries: DataFrame, key: str, number: str, agent: str, content: str) -> DataFrame:
-    """(key, number, entries, participants): contributions by round in order of agents, upper-cased, first seen first."""
-    e = F.sort_array(F.collect_list(F.struct("seq", F.upper(agent).alias("agent"), F.col(content).alias("content"))))
-    out = entries.groupBy(key, number).agg(e.alias("entries"))
-    return out.withColumn("participants", F.array_distinct(F.transform("entries", lambda x: x["agent"])))
+def rounds(entries: DataFrame, key: str, number: str, agent: str) -> DataFrame:
+    """(key, number, n, participants): contributions of each round, agents upper-cased, first seen first.
+
+    Contributions are counted by agent first, so no more than the agents of a round are gathered.
+    """
+    each = entries.groupBy(key, number, F.upper(agent).alias("agent")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("first", "agent"))), lambda x: x["agent"])
+    return each.groupBy(key, number).agg(F.sum("n").cast("int").alias("n"), named.alias("participants"))
+
+
+def round_entries(entries: DataFrame, key: str, number: str, agent: str, content: str) -> DataFrame:
+    """(key, number, place, agent, content): the contributions of each round as rows, numbered in order."""
+    order = W.partitionBy(key, number).orderBy("seq")
+    return entries.select(key, number, F.row_number().over(order).alias("place"), F.upper(agent).alias("agent"), F.col(content).alias("content"))
 
 
 def payload_fields(rows: DataFrame, payload: str) -> DataFrame:

@@ -35,9 +35,10 @@ def markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = lines.withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(before))
     parts = lines.groupBy("key", "part").agg(F.max("level").alias("level"), F.max("name").alias("name"), (F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("lines"))
     parts = parts.withColumn("content", F.trim(F.concat_ws("\n", F.transform("lines", lambda x: x["line"]))))
-    heads = F.filter(F.sort_array(F.collect_list(F.struct("part", "level", "name")).over(W.partitionBy("key"))), lambda h: (h["part"] < F.col("part")) & (h["level"] > 0) & (h["level"] < F.col("level")))
-    nearest = F.element_at(heads, -1)
-    parts = parts.withColumn("heads", heads).withColumn("nearest", F.when(F.size("heads") > 0, nearest))
+    # the last header of each level before, so no section carries all headers of its document
+    earlier = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    heads = [F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.struct("part", "level", "name")), ignorenulls=True).over(earlier)) for n in range(1, 6)]
+    parts = parts.withColumn("nearest", F.greatest(*heads))
     return parts.filter(F.regexp_replace("content", r"\s", "") != "").select(
         "key", F.lit("section").alias("chunk_type"), "name", F.when(F.col("nearest.level") == F.col("level") - 1, F.col("nearest.name")).alias("parent"), "start_line", "end_line", F.regexp_replace("content", r"^\s+|\s+$", "").alias("content")
     )

@@ -113,11 +113,8 @@ def _positions(spark, sf) -> DataFrame:
 
 
 def grid_velocity_ema(spark, sf):
-    """Speeds after each of the first hundred steps of every agent."""
-    from pyspark.sql import Window as W
-
-    first = _positions(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("agent").orderBy("seq"))).filter("n <= 100")
-    return activity.velocities(first, "agent", "seq", "seconds", "v", 4).select("agent", "seq", F.round(F.col("speed") * 1e6, 4).alias("speed"))
+    """Speeds after each step of every agent."""
+    return activity.velocities(_positions(spark, sf), "agent", "seq", "seconds", "v", 4).select("agent", "seq", F.round(F.col("speed") * 1e6, 4).alias("speed"))
 
 
 def _latest(spark, sf) -> DataFrame:
@@ -197,6 +194,9 @@ SELECT event_type, n::INT AS n, round(x[n // 2 + 1], 2) AS p50, round(CASE WHEN
     "recent_ingestions": "WITH l AS (SELECT conv_id, max(turn) AS turns, max_by(role, turn) AS role, substr(max_by(text, turn), 1, 100) AS preview FROM conversations GROUP BY 1) SELECT conv_id, turns, preview, row_number() OVER (ORDER BY conv_id DESC)::INT AS rank FROM l WHERE role = 'assistant' ORDER BY rank LIMIT 10",
     "archive_session": "WITH s AS (SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1) SELECT conv_id, sha256(x) AS sha256, length(x)::INT AS n FROM s",
     "debounce_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
+    "grid_velocity_ema": f"""WITH {_P}, u AS (SELECT agent, seq, seconds, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM p), r AS (SELECT agent, seq, k, (x - lag(x) OVER w) / nullif(greatest(seconds - lag(seconds) OVER w, 0), 0) AS raw FROM u WINDOW w AS (PARTITION BY agent, k ORDER BY seq)),
+g AS (SELECT agent, seq, coalesce(list_sum(list_transform(list_reverse(list(raw) FILTER (raw IS NOT NULL) OVER (PARTITION BY agent, k ORDER BY seq ROWS BETWEEN 150 PRECEDING AND CURRENT ROW)), lambda y, i: 0.3::DOUBLE * pow(0.7::DOUBLE, i - 1) * y)), 0) AS v FROM r)
+SELECT agent, seq, round(sqrt(sum(v * v)) * 1e6, 4) AS speed FROM g GROUP BY 1, 2""",
     "grid_nearby": f"WITH {_P} SELECT a.agent, round({_D}, 6) AS distance FROM l a, l b WHERE b.agent = 3 AND a.agent <> 3 AND {_D} < 0.9",
     "grid_proximity": f"WITH {_P} SELECT a.agent, CASE WHEN {_D} < 0.2 THEN 'highly aligned - working on same topic' WHEN {_D} < 0.5 THEN 'similar focus - related work' WHEN {_D} < 1 THEN 'different focus - parallel tracks' ELSE 'divergent - unrelated or opposing' END AS label FROM l a JOIN l b ON b.agent = a.agent + 1",
     "grid_stats": f"WITH {_P}, n AS (SELECT epoch_us(TIMESTAMP '2024-01-30 20:00:00') / 1e6 AS now) SELECT count(*) AS total, count(*) FILTER (now - seconds < 3600) AS active, count(*) FILTER (now - seconds > 3600) AS stale, round(avg(v[1]), 6) AS mean_speed FROM l, n",

@@ -36,8 +36,8 @@ def result_cache(spark, sf):
 
 def roundtable_rounds(spark, sf):
     e = _t(spark, sf, "events").select((F.col("user_id") % 10).alias("topic"), (F.col("event_id") % 3).alias("round"), F.col("event_id").alias("seq"), F.col("event_type").alias("agent"), "props")
-    out = activity.rounds(e, "topic", "round", "agent", "props")
-    return out.select("topic", "round", F.size("entries").alias("n"), F.array_join("participants", ",").alias("participants"))
+    out = activity.rounds(e, "topic", "round", "agent")
+    return out.select("topic", "round", "n", F.array_join("participants", ",").alias("participants"))
 
 
 def coherence(spark, sf):

@@ -171,5 +171,8 @@ SELECT id, path, hash, deleted OR path IN (SELECT path FROM f) AS deleted FROM i
     "cache_stats": "SELECT count(*) AS entries, sum(strlen(props))::BIGINT AS bytes, round(count(*) FILTER (event_id % 3 > 0) * 100 / count(*), 1) AS hit_rate FROM events",
     "language_map": "SELECT page_id, ['python', 'typescript', 'markdown', 'shell', NULL, 'yaml'][page_id % 6 + 1] AS language FROM pages",
     "chunk_fixed": "WITH c AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) > 2000 THEN ceil(length(text) / 1500)::BIGINT ELSE 1 END)) AS chunk FROM documents), t AS (SELECT CASE WHEN length(text) > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, chunk::INT AS chunk, CASE WHEN length(text) > 2000 THEN substr(text, chunk * 1500 + 1, 1500) ELSE text END AS content FROM c) SELECT path, chunk, length(content)::INT AS n, md5(content) AS md5 FROM t",
+    "chunk_markdown": r"""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS l, text, length(text) - length(replace(text, chr(10), '')) + 2 AS lines FROM conversations),
+p AS (SELECT *, 1 + sum(lines) OVER (PARTITION BY conv_id ORDER BY turn) - lines AS first, (SELECT max(b.turn * 10 + b.l) FROM t b WHERE b.conv_id = t.conv_id AND b.turn < t.turn AND b.l < t.l) AS head FROM t)
+SELECT conv_id AS key, 'turn ' || turn AS name, CASE WHEN head % 10 = l - 1 THEN 'turn ' || (head // 10) END AS parent, first::INT AS start_line, (first + lines - 1)::INT AS end_line, length(regexp_replace(repeat('#', l) || ' turn ' || turn || chr(10) || text, '^\s+|\s+$', '', 'g'))::INT AS n FROM p""",
     "metadata_enrich": "WITH c AS (SELECT doc_id, length(text) AS l, unnest(range(CASE WHEN length(text) > 2000 THEN ceil(length(text) / 1500)::BIGINT ELSE 1 END)) AS chunk FROM documents) SELECT CASE WHEN l > 2000 THEN doc_id || '#chunk' || chunk ELSE doc_id::VARCHAR END AS path, CASE WHEN doc_id % 3 + 1 < 3 THEN doc_id % 3 + 1 END AS version FROM c",
 }

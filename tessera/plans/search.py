@@ -231,4 +231,5 @@ SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM
     "context_render": f"WITH {sql.bm25(5)}, c AS (SELECT query_id, string_agg('[' || source || ']' || chr(10) || substr(text, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM bm25 JOIN documents ON id = doc_id GROUP BY 1) SELECT query_id, length(context)::INT AS n_chars, sha256(context) AS sha256 FROM c",
     "text_keywords": f"WITH w AS (SELECT source, doc_id, unnest(k) AS word, generate_subscripts(k, 1) AS pos FROM (SELECT source, doc_id, {sql.keywords('text')} AS k FROM documents)), c AS (SELECT source, word, count(*) AS n, min((doc_id, pos)) AS first FROM w GROUP BY 1, 2) SELECT source, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first)::INT AS rank FROM c) WHERE rank <= 5",
     "jaccard_overlap": f"WITH d AS (SELECT doc_id, list_distinct({sql.keywords('text')}) AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) ELSE 0 END, 9) AS overlap FROM d a JOIN d b ON b.doc_id = a.doc_id + 1",
+    "rerank_hook": f"WITH {sql.bm25(10)}, r AS (SELECT query_id, id, 1 / (1.0::DOUBLE + length(text)) AS rerank, score, rank AS old FROM bm25 JOIN documents ON id = doc_id) SELECT * FROM (SELECT query_id, id, round(rerank, 9) AS rerank_score, round(score, 6) AS pre_rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, old)::INT AS rank FROM r) WHERE rank <= 3",
 }

@@ -5,10 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ingest import diff
+
+
+def arrivals(spark: SparkSession, root: str, pattern: str = "*", per_batch: int = 1000) -> DataFrame:
+    """(path, ts, op, text): a stream of the files that appear under a folder, each once. Files that are written anew under
+    their names, or go, are found by `polled`."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(root)
+    return files.select("path", F.col("modificationTime").alias("ts"), F.lit("created").alias("op"), F.decode("content", "utf-8").alias("text"))
+
+
+def polled(before: DataFrame | None, now: DataFrame) -> DataFrame:
+    """(path, op): created, modified or deleted between two scans (path, mtime, size)."""
+    if before is None:
+        return now.select("path", F.lit("created").alias("op"))
+    mark = F.struct("mtime", "size")
+    change = diff(before.select("path", mark.alias("mark")), now.select("path", mark.alias("mark")), "path", "mark")
+    names = F.create_map(*[F.lit(x) for x in ("NEW", "created", "MODIFIED", "modified", "DELETED", "deleted")])
+    return change.select("path", names[F.col("change")].alias("op"))
+
 
 def debounced(events: DataFrame, seconds: int = 2, late: str = "10 seconds") -> DataFrame:
     """(path, start, end, op, n): a quiet period after the last event of a path closes its run; the last operation counts."""
