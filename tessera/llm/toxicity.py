@@ -5,7 +5,7 @@ the letters it may stand for; Viterbi decoding finds its likeliest word under a
 restored text is scored. The trigrams are counted over all documents, in one pass whose result the alphabet bounds; the
 words and word beginnings that are sought weigh as much again. Features and their weights are learned from labelled
 rows: at most `max_rows` of them (a documented bound, the rows with the smallest hash of the id). A word or beginning
-is a feature if toxic rows hold it significantly more often; weights come from a ridge logistic regression on the
+is a feature if at least a hundredth of the toxic rows hold it, significantly more often than others; weights come from a ridge logistic regression on the
 logarithms of their counts, its strength and the final curve from folds that the features and weights have not seen.
 
 Decoding is exact: states dearer than the best one by all that the best one could pay more are dropped, no others.
@@ -328,11 +328,11 @@ def _weights(x: np.ndarray, y: np.ndarray, strength: float, least: float, most:
     g = _surprise(p.astype(float), q.astype(float), base)
     picked = np.flatnonzero((g >= least) & (p > q))
     picked = np.sort(picked[np.argsort(-g[picked], kind="stable")[:most]])
-    rows = np.column_stack([x[:, picked], np.ones(len(x)), y])
+    rows = np.column_stack([x[:, picked], np.ones(len(x), np.float32), y.astype(np.float32)])
     rows, times = np.unique(rows, axis=0, return_counts=True)  # most rows hold no feature
     ridge = np.full(len(picked) + 1, strength)
     ridge[-1] = 1e-4
-    return picked, _regress(rows[:, :-1], rows[:, -1], ridge, times.astype(float))
+    return picked, _regress(rows[:, :-1].astype(float), rows[:, -1].astype(float), ridge, times.astype(float))
 
 
 def _words(text: str) -> list[str]:
@@ -341,26 +341,24 @@ def _words(text: str) -> list[str]:
 
 def _columns(rows: list[tuple[str, int]], names: list[str]) -> Iterator[Counter]:
     """For each row, how often it holds each of the named features, by number."""
-    number, known = {f: i for i, f in enumerate(names)}, {}
+    number = {f: i for i, f in enumerate(names)}
+    heads = {f[: PREFIXES[0]] for f in names if f.endswith("~")}
     for text, _ in rows:
         out = Counter()
         for w in _words(text):
-            if (ids := known.get(w)) is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[w] = ids = tuple([number[f] for f in features(w) if f in number])
-            if ids:
-                out.update(ids)
+            if w in number or w[: PREFIXES[0]] in heads:
+                out.update([number[f] for f in features(w) if f in number])
         yield out
 
 
-def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_types: int = 4, least_surprise: float = 15.0, most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
+def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_share: float = 0.01, least_types: int = 4, least_surprise: float = 15.0, most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
     """Learns from (text, label) rows, equal ones counting once, and from the trigrams of all documents (or of the rows)."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     y = np.array([label for _, label in rows], float)
     if counts is None:
         counts = count_trigrams([t for t, _ in rows])
     toxic = [text for text, label in rows if label]
+    least_docs = max(least_docs, math.ceil(least_share * len(toxic)))
     sieve = np.zeros(SIEVE, np.uint32)  # counts by hash, so that only features of enough rows are held by name
     for text in toxic:
         sieve[np.unique([hash(f) % SIEVE for w in set(_words(text)) for f in features(w)]).astype(np.int64)] += 1
@@ -378,7 +376,7 @@ def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_doc
     g = _surprise(docs_with[1], docs_with[0], base)
     keep = np.flatnonzero(g >= least_surprise / 2)  # no column that a fold may pick is lost
     keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[: 2 * most_features]])
-    x = np.zeros((len(rows), len(keep)))
+    x = np.zeros((len(rows), len(keep)), np.float32)
     for r, own in enumerate(_columns(rows, [names[i] for i in keep])):
         x[r, list(own)] = np.log1p(list(own.values()))
     if not len(keep) or not 0 < y.sum() < len(y):
