@@ -112,9 +112,10 @@ class Mix:
         before = F.col("base") + F.col("before")
         if self.whole:
             placed = scratch.write(placed.withColumn("fits", (F.col("size") > 0) & (before + F.col("size") <= F.col("rest"))))
-            gap = placed.groupBy("place").agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+            # tables of a row for each source, so that Spark can split a large source's side of the joins
+            gap = scratch.write(placed.groupBy("place").agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap")))
             near = placed.filter("not fits and size > 0").join(gap, "place").withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter("off < gap")
-            last = near.groupBy("place").agg(F.min(F.struct("off", "key", "key2", "block")).alias("last"))
+            last = scratch.write(near.groupBy("place").agg(F.min(F.struct("off", "key", "key2", "block")).alias("last")))
             placed = placed.join(last, "place", "left")
             taken = F.col("fits") | ((F.col("key") == F.col("last.key")) & (F.col("key2") == F.col("last.key2")))
             partial = F.when(F.coalesce(taken, F.lit(False)), F.col("size")).otherwise(0)
