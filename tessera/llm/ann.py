@@ -55,9 +55,17 @@ class Tree:
         self.number = {int(n): i for i, n in enumerate(self.leaves)}
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf with the nearest centre."""
-        c = self.centre[self.leaves]
-        return np.argmin((c**2).sum(1) - 2 * (x @ c.T), axis=1)
+        """The leaf to which the nearest centre of each level leads."""
+        out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if not self.children[node]:
+                out[rows] = self.number[node]
+                continue
+            c = self.centre[list(self.children[node])]
+            nearest_ = np.argmin((c**2).sum(1) - 2 * (x[rows] @ c.T), axis=1)
+            todo += [(child, rows[nearest_ == i]) for i, child in enumerate(self.children[node]) if (nearest_ == i).any()]
+        return out
 
     def walk(self, q: np.ndarray, least_leaves: int, sizes: np.ndarray, least_rows: int) -> list[int]:
         """Leaves, best bin first, until there are enough of them and of rows in them."""
