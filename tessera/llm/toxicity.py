@@ -5,8 +5,9 @@ the letters it may stand for; Viterbi decoding finds its likeliest word under a
 restored text is scored. The trigrams are counted over all documents, in one pass whose result the alphabet bounds; the
 words and word beginnings that are sought weigh as much again. Features and their weights are learned from labelled
 rows: at most `max_rows` of them (a documented bound, the rows with the smallest hash of the id). A word or beginning
-is a feature if at least a hundredth of the toxic rows hold it, significantly more often than others; weights come from a ridge logistic regression on the
-logarithms of their counts, its strength and the final curve from folds that the features and weights have not seen.
+is a feature if at least a hundredth of the toxic rows hold it, significantly more often than others; weights come from
+a ridge logistic regression on the logarithms of their counts; what counts as significant, the ridge's strength and
+the final curve come from folds that the features and weights have not seen.
 
 Decoding is exact: states dearer than the best one by all that the best one could pay more are dropped, no others.
 Whole tokens are decoded, in time in proportion to their length; decoding ends early where all paths agree on what can
@@ -351,7 +352,7 @@ def _columns(rows: list[tuple[str, int]], names: list[str]) -> Iterator[Counter]
         yield out
 
 
-def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_share: float = 0.01, least_types: int = 4, least_surprise: float = 15.0, most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
+def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_share: float = 0.01, least_types: int = 4, surprises: tuple[float, ...] = (9.0, 15.0), most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
     """Learns from (text, label) rows, equal ones counting once, and from the trigrams of all documents (or of the rows)."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     y = np.array([label for _, label in rows], float)
@@ -374,7 +375,7 @@ def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_doc
         docs_with[label, list(own)] += 1
     base = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
     g = _surprise(docs_with[1], docs_with[0], base)
-    keep = np.flatnonzero(g >= least_surprise / 2)  # no column that a fold may pick is lost
+    keep = np.flatnonzero(g >= min(surprises) / 2)  # no column that a fold may pick is lost
     keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[: 2 * most_features]])
     x = np.zeros((len(rows), len(keep)), np.float32)
     for r, own in enumerate(_columns(rows, [names[i] for i in keep])):
@@ -383,17 +384,18 @@ def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_doc
         prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
         return Model([], np.zeros(0), Channel(counts), (min(prior, 0.0), 1.0))
     fold = np.random.default_rng(7).permutation(len(y)) % folds
-    outside: dict[float, np.ndarray] = {}
-    for strength in strengths:
-        outside[strength] = z = np.zeros(len(y))
-        for k in range(folds):
-            mine = fold != k
-            if mine.any() and 0 < y[mine].sum() < mine.sum():
-                picked, beta = _weights(x[mine], y[mine], strength, least_surprise * (folds - 1) / folds, most_features)
-                z[~mine] = x[~mine][:, picked] @ beta[:-1] + beta[-1]
+    outside: dict[tuple[float, float], np.ndarray] = {}
+    for least in surprises:
+        for strength in strengths:
+            outside[least, strength] = z = np.zeros(len(y))
+            for k in range(folds):
+                mine = fold != k
+                if mine.any() and 0 < y[mine].sum() < mine.sum():
+                    picked, beta = _weights(x[mine], y[mine], strength, least * (folds - 1) / folds, most_features)
+                    z[~mine] = x[~mine][:, picked] @ beta[:-1] + beta[-1]
     loss = lambda z: float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
-    best = min(strengths, key=lambda s: loss(outside[s]))
-    picked, beta = _weights(x, y, best, least_surprise, most_features)
+    best = min(outside, key=lambda s: loss(outside[s]))
+    picked, beta = _weights(x, y, best[1], best[0], most_features)
     curve = _regress(np.column_stack([outside[best], np.ones(len(y))]), y, np.array([1e-3, 1e-4]), np.ones(len(y)))
     slope = max(0.0, float(curve[0]))
     chosen = [names[keep[i]] for i in picked]

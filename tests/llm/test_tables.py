@@ -401,20 +401,97 @@ def test_suffix_dedup_empty(spark, rows):
     assert suffix_dedup.Dedup(table(spark, rows).limit(0)).run().count() == 0
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_stages_against_plain_python(spark, sf):
+    """Each stage on what its predecessor kept: rows by rows, by another way."""
     import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    clean = corpus_pipeline.drop_toxic(spark, docs, sf)
-    assert clean.columns == docs.columns
-    kept = {r[0] for r in clean.select("doc_id").collect()}
-    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    assert np.mean([(i in kept) == (t == 0) for i, t in known.items()]) > 0.9
-    out = corpus_pipeline.run(spark, sf)
-    rows_ = out.collect()
-    assert rows_ and all(len(r["ids"]) == r["n_tokens"] for r in rows_) and {r["doc_id"] for r in rows_} <= kept
+    from tessera.llm import byte_bpe, toxicity
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    given = {n: f for n, f in corpus_pipeline.STAGES}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "source mixing", "byte-level BPE"]
+    known = {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect()}
+    # toxicity: the same counts and rows, gathered without Spark
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learned = [(known[i][0], y) for i, y in toxic.items() if i in known and y is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    model = toxicity.fit(learned, sum(toxicity.count_trigrams([t]) for t, _ in known.values()))
+    now = given["toxicity"](spark, docs, sf)
+    assert now.columns == docs.columns
+    kept = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert kept == {i: t for i, (t, _) in known.items() if model.score(t) < 0.7}
+    assert np.mean([(i in kept) == (y == 0) for i, y in toxic.items()]) > 0.9
+    now = spark.createDataFrame(now.collect(), docs.schema)
+    # line dedup: see test_line_dedup for the rule; here, that a kept line of eight words never repeats an earlier one
+    out = given["line dedup"](spark, now, sf)
+    rows_ = sorted(out.collect(), key=lambda r: r["doc_id"])
+    seen = set()
+    for r in rows_:
+        assert r["n_chars"] == len(r["text"])
+        for x in r["text"].split("\n"):
+            if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 8:
+                assert x.strip() not in seen
+                seen.add(x.strip())
+    now = spark.createDataFrame(rows_, docs.schema)
+    # near duplicates: all pairs
+    out = {r["doc_id"] for r in given["n-gram Jaccard join"](spark, now, sf).collect()}
+    sets, parent = {r["doc_id"]: _set(r["text"], 5) for r in rows_}, {r["doc_id"]: r["doc_id"] for r in rows_}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    assert out == {i for i in ids if root(i) == i}
+    now = now.filter(F.col("doc_id").isin(list(out)))
+    # mixing: whole documents, near each source's target
+    mixed = given["source mixing"](spark, now, sf)
+    assert mixed.columns == docs.columns
+    rows_ = mixed.collect()
+    size = Counter()
+    for r in now.collect():
+        size[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    want, got, most = _targets(size), Counter(), Counter()
+    for r in rows_:
+        got[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        most[r["doc_id"]] += 1
+    longest = Counter()
+    for r in now.collect():
+        longest[r["source"]] = max(longest[r["source"]], len(r["text"].split()))
+    assert {r["doc_id"] for r in rows_} <= out and max(most.values()) <= 3 and all(abs(got[s] - want[s]) <= longest[s] for s in want)
+    # tokens: the library
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for r in given["byte-level BPE"](spark, spark.createDataFrame(rows_, docs.schema), sf).collect():
+        ids_ = library.encode_ordinary(next(x["text"] for x in rows_ if x["doc_id"] == r["doc_id"]))
+        assert r["ids"] == ids_ and r["n_tokens"] == len(ids_)
+
+
+def test_pipeline_runs_as_a_whole(spark, sf):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert out and all(len(r["ids"]) == r["n_tokens"] for r in out)
+
+
+def test_pipeline_of_odd_tables(spark, sf, tmp_path):
+    """No documents, and documents of nulls, empties, equal rows and clashing columns."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(1, None, None, None, None, 7), (None, "", "en", "s", 0, 7), (None, None, None, None, None, 7), (2, "one two", "en", "s", 7, 7), (2, "one two", "en", "s", 7, 7), (3, "x " * 20_000, "en", None, 40_000, 7), (4, "word " * 3 + "\n" * 5000, "en", "s", 5015, 7)]
+    for name, rows_ in (("empty", []), ("odd", odd)):
+        folder = tmp_path / name
+        docs.limit(0).withColumn("shard", F.lit(1)).unionByName(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, shard int")).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r["doc_id"] for r in out} <= {r[0] for r in rows_} and (not rows_ or {2, 3} <= {r["doc_id"] for r in out})
 
 
 def test_every_query_is_registered():
