@@ -79,7 +79,8 @@ def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> D
     runs = prints.join(again, "g").select("id", "key", "p", "g", F.inline(F.concat(itself, back, ahead)))
     runs = scratch.write(runs)
     scratch.drop(prints)
-    first = runs.groupBy("g", "to", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("a")).filter("m > 1").drop("m")
+    # a table, so that Spark can split a frequent extension's side of the join
+    first = scratch.write(runs.groupBy("g", "to", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("a")).filter("m > 1").drop("m"))
     later = runs.join(first, ["g", "to", "h"]).filter(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("key") == F.col("a.key")) & (F.col("p") == F.col("a.p"))))
     gone = later.select("id", "key", F.explode("own").alias("line")).groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
     # built from the gaps between deleted lines, since a search for each line would take lines times deletions
