@@ -309,50 +309,59 @@ def _surprise(p: np.ndarray, q: np.ndarray, base: float) -> np.ndarray:
         return np.where((n > 0) & (share > base), 2 * (p * np.log(share / base) + other), 0.0)
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, weight: np.ndarray, steps: int = 40) -> np.ndarray:
     """Logistic regression by Newton steps."""
     beta = np.zeros(x.shape[1])
-    for _ in range(40):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge)
         step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-7:
+        if np.abs(step).max() < 1e-4:
             break
     return beta
 
 
-def _weights(x: np.ndarray, y: np.ndarray, strength: float, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the significant columns, and their weights (the constant's last)."""
+def _picked(x: np.ndarray, y: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Numbers of the significant columns, `most` of them at most."""
     base = min(max(y.mean(), 1e-9), 1 - 1e-9)
     p, q = (x[y == 1] > 0).sum(0), (x[y == 0] > 0).sum(0)
     g = _surprise(p.astype(float), q.astype(float), base)
     picked = np.flatnonzero((g >= least) & (p > q))
-    picked = np.sort(picked[np.argsort(-g[picked], kind="stable")[:most]])
+    return np.sort(picked[np.argsort(-g[picked], kind="stable")[:most]])
+
+
+def _weights(x: np.ndarray, y: np.ndarray, picked: np.ndarray, strength: float, steps: int = 40) -> np.ndarray:
+    """Weights of the picked columns, and the constant."""
     rows = np.column_stack([x[:, picked], np.ones(len(x), np.float32), y.astype(np.float32)])
     rows, times = np.unique(rows, axis=0, return_counts=True)  # most rows hold no feature
     ridge = np.full(len(picked) + 1, strength)
     ridge[-1] = 1e-4
-    return picked, _regress(rows[:, :-1].astype(float), rows[:, -1].astype(float), ridge, times.astype(float))
+    return _regress(rows[:, :-1].astype(float), rows[:, -1].astype(float), ridge, times.astype(float), steps)
 
 
 def _words(text: str) -> list[str]:
     return [w for t in text.lower().split() if (w := t.strip(_EDGES))]
 
 
-def _columns(rows: list[tuple[str, int]], names: list[str]) -> Iterator[Counter]:
+def _columns(rows: list[tuple[str, int]], names: list[str]) -> Iterator[dict[int, int]]:
     """For each row, how often it holds each of the named features, by number."""
-    number = {f: i for i, f in enumerate(names)}
+    number, known = {f: i for i, f in enumerate(names)}, {}
     heads = {f[: PREFIXES[0]] for f in names if f.endswith("~")}
     for text, _ in rows:
-        out = Counter()
-        for w in _words(text):
-            if w in number or w[: PREFIXES[0]] in heads:
-                out.update([number[f] for f in features(w) if f in number])
+        out: dict[int, int] = {}
+        for w, n in Counter(_words(text)).items():
+            if (ids := known.get(w)) is None:
+                if len(known) >= MEMORY:
+                    known.clear()
+                ids = [number[f] for f in features(w) if f in number] if w in number or w[: PREFIXES[0]] in heads else ()
+                known[w] = ids = tuple(ids)
+            for i in ids:
+                out[i] = out.get(i, 0) + n
         yield out
 
 
-def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_share: float = 0.01, least_types: int = 4, surprises: tuple[float, ...] = (9.0, 15.0), most_features: int = 400, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.2, 1.0)) -> Model:
+def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_docs: int = 3, least_share: float = 0.01, least_types: int = 4, surprises: tuple[float, ...] = (9.0, 15.0), most_features: int = 300, folds: int = 3, strengths: tuple[float, ...] = (0.05, 0.3)) -> Model:
     """Learns from (text, label) rows, equal ones counting once, and from the trigrams of all documents (or of the rows)."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     y = np.array([label for _, label in rows], float)
@@ -384,18 +393,21 @@ def fit(rows: list[tuple[str, int]], counts: np.ndarray | None = None, least_doc
         prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
         return Model([], np.zeros(0), Channel(counts), (min(prior, 0.0), 1.0))
     fold = np.random.default_rng(7).permutation(len(y)) % folds
-    outside: dict[tuple[float, float], np.ndarray] = {}
-    for least in surprises:
-        for strength in strengths:
-            outside[least, strength] = z = np.zeros(len(y))
-            for k in range(folds):
-                mine = fold != k
-                if mine.any() and 0 < y[mine].sum() < mine.sum():
-                    picked, beta = _weights(x[mine], y[mine], strength, least * (folds - 1) / folds, most_features)
-                    z[~mine] = x[~mine][:, picked] @ beta[:-1] + beta[-1]
+    outside = {(least, strength): np.zeros(len(y)) for least in surprises for strength in strengths}
+    for k in range(folds):
+        mine, done = fold != k, {}
+        if not 0 < y[mine].sum() < mine.sum():
+            continue
+        for (least, strength), z in outside.items():
+            picked = _picked(x[mine], y[mine], least * (folds - 1) / folds, most_features)
+            if (same := (picked.tobytes(), strength)) not in done:
+                beta = _weights(x[mine], y[mine], picked, strength, steps=15)
+                done[same] = x[~mine][:, picked] @ beta[:-1] + beta[-1]
+            z[~mine] = done[same]
     loss = lambda z: float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
     best = min(outside, key=lambda s: loss(outside[s]))
-    picked, beta = _weights(x, y, best[1], best[0], most_features)
+    picked = _picked(x, y, best[0], most_features)
+    beta = _weights(x, y, picked, best[1])
     curve = _regress(np.column_stack([outside[best], np.ones(len(y))]), y, np.array([1e-3, 1e-4]), np.ones(len(y)))
     slope = max(0.0, float(curve[0]))
     chosen = [names[keep[i]] for i in picked]
