@@ -41,8 +41,8 @@ LANES, MERGED = 4096, 400_000
 GRAM = 32
 #: An equal share of all rows beyond which a piece is met by broadcast: fewer than this many pieces have one.
 HOT = 4096
-#: Bits of the filter that keeps texts without shared pieces out of a shuffle: 4096 rows of 4 KB.
-SEEN = 27
+#: Bits of the filter that keeps texts without shared pieces out of a shuffle: 1024 rows of 4 KB.
+SEEN = 25
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -112,37 +112,37 @@ def fingerprints(texts: pa.Array, passage: int, gram: int = GRAM) -> tuple[np.nd
     return row[new], least[new]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number in their order; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(">u8").reshape(-1).astype(np.uint64)
+
+
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes in the order of their first `depth` bytes or more; the end comes before any byte."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+    key = _eights(data)
     order = np.argsort(key, kind="stable")
+    new = _changes(key[order])
+    if (data == 0).any():  # suffixes shorter than the key are told apart from zero bytes by their length
+        size = np.minimum(n - np.arange(n), 8)
+        order = np.lexsort((size, key))
+        new = _changes(key[order]) | _changes(size[order])
     rank = np.zeros(n, np.int32)  # shards stay far below 2**31 bytes; a rank is the place of the first of its suffixes
-    sorted_ = key[order]
-    rank[order] = _heads(sorted_)
-    late = np.arange(max(0, n - 7), n)  # shorter than the key: told apart from zero bytes by their length
-    if len(late) and (np.bincount(rank, minlength=n)[rank[late]] > 1).any():
-        order = np.lexsort((np.minimum(n - np.arange(n), 8), key))
-        both = np.stack([key[order], np.minimum(n - order, 8).astype(np.uint64)])
-        new = np.ones(n, bool)
-        new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h, active = 8, np.arange(n, dtype=np.int32)
-    while h < depth:
-        active = active[np.bincount(rank[active], minlength=n)[rank[active]] > 1]  # the others keep their places for good
-        if not len(active):
-            break
+    rank[order] = _heads(new)
+    active = order[_tied(new)]  # the others keep their places for good
+    h = 8
+    while h < depth and len(active):
         after = np.where(active + h < n, rank[np.minimum(active + h, n - 1)] + 1, 0)
         key = rank[active].astype(np.int64) * (n + 1) + after
         by = np.argsort(key, kind="stable")
-        active, sorted_ = active[by], key[by]
-        group = sorted_ // (n + 1)
-        start = _heads(group)
+        active, key = active[by], key[by]
+        group = key // (n + 1)
+        start = _heads(_changes(group))
+        new = _changes(key)
         order[group + np.arange(len(active)) - start] = active
-        rank[active] = group + _heads(sorted_) - start
+        rank[active] = group + _heads(new) - start
+        active = active[_tied(new)]
         h *= 2
     return order
 
@@ -157,6 +157,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     place[order] = np.arange(n)
     before = np.where(place > 0, order[place - 1], n)  # the suffix before; n has no bytes
     padded = np.concatenate([data.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    eights = np.concatenate([_eights(data), np.zeros(most + 1, np.uint64)])
     out = np.zeros(n + 1, np.int32)
     step = max(1, -(-n // LANES))
     lanes = np.arange(0, n, step)
@@ -168,7 +169,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         other = before[at]
         np.maximum(shared - 1, 0, out=shared)
         shared[other == n] = 0
-        going = np.flatnonzero(inside & (other < n))
+        open_ = np.flatnonzero(inside & (other < n))
+        going = open_
+        while len(going):  # eight bytes at a time, then one by one
+            x, y = at[going] + shared[going], other[going] + shared[going]
+            same = (shared[going] + 8 <= most) & (np.maximum(x, y) + 8 <= n) & (eights[x] == eights[y])
+            going = going[same]
+            shared[going] += 8
+        going = open_
         while len(going):
             x, y = at[going] + shared[going], other[going] + shared[going]
             same = (shared[going] < most) & (padded[x] == padded[y]) & (padded[x] >= 0)
@@ -178,11 +186,21 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return out[order]
 
 
-def _heads(values: np.ndarray) -> np.ndarray:
-    """For sorted values, the index of the first equal one."""
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before."""
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+    return new
+
+
+def _heads(new: np.ndarray) -> np.ndarray:
+    """The place where each value's run begins."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _tied(new: np.ndarray) -> np.ndarray:
+    """Which values are in a run of several."""
+    return ~(new & np.append(new[1:], True))
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +223,13 @@ class Dedup:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, piece: int = PIECE, passage: int = 50):
         self.docs, self.id, self.text, self.length, self.piece, self.passage = docs, id_col, text_col, length, piece, passage
         self.spark = docs.sparkSession
-        self.scratch = Scratch(self.spark, "suffix")
+        self.scratch, self.counts = Scratch(self.spark, "suffix"), []
 
     def _shared(self, each: DataFrame, apart: str | None = None) -> DataFrame:
         """The rows whose h occurs in several rows, or in some with different values of `apart`."""
         aims = [F.min(apart).alias("p"), F.max(apart).alias("q")] if apart else []
         counts = self.scratch.write(each.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *aims).filter("p <> q" if apart else "m > 1").select("h", "m"))
+        self.counts.append(counts)
         most = (counts.agg(F.sum("m")).first()[0] or 0) // HOT + 1
         hot = F.broadcast(counts.filter(F.col("m") > most).select("h"))  # fewer than HOT rows
         return each.join(hot, "h").union(each.join(hot, "h", "left_anti").join(counts.filter(F.col("m") <= most).select("h"), "h"))
@@ -256,6 +275,7 @@ class Dedup:
         each = classes.select("c", "rep", F.explode("found").alias("x")).select("c", "rep", "x.h", "x.lo", "x.hi")
         places = self._shared(each).groupBy("c", "rep").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
         places = scratch.write(places)
+        scratch.drop(classes, *self.counts)
         texts = long_.filter(F.octet_length("t") >= length).select("id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("c"), "t")
         texts = self._may_hold(texts, places)
         cut = places.join(texts, (places.c == texts.c) & places.rep.eqNullSafe(texts.id)).select(places.c, F.col("t").cast("binary").alias("t"), F.explode("found").alias("x"))
@@ -275,6 +295,7 @@ class Dedup:
         ranges = 1 + alone.count() // MERGED
         merged = alone.withColumn("range", F.pmod("x1", F.lit(ranges))).groupBy("range").applyInArrow(_merge, "h long, s long, a int, b int")
         runs = marked.filter("x1 is null").select("h", "s", "a", "b").union(merged).groupBy("h", "s").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+        runs = scratch.write(runs)  # a table, so that Spark can split the places of a frequent stretch
         # equal stretches in two places repeat as a whole
         more = groups.filter("m > 1").select("h", "s")
         keys = cut.select("h", "s", "c", "lo", "hi")
@@ -283,7 +304,7 @@ class Dedup:
         spans = spans.groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
         both = spans.join(marks, "c", "full")
         out = scratch.write(both.select("c", F.coalesce("whole", F.lit(False)).alias("whole"), "spans", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared")))
-        scratch.drop(classes, places, marks, cut, groups, sizes, marked)
+        scratch.drop(places, marks, cut, groups, sizes, marked, runs)
         return out
 
     def run(self) -> DataFrame:
