@@ -70,7 +70,7 @@ def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> D
     lines = F.slice("at", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, F.col("n") + F.size("back") + F.size("ahead"))
     prints = scratch.write(prints.select("id", "key", "p", "n", "g", "back", "ahead", lines.alias("lines")))
     place = F.struct("id", "key", "p")
-    again = prints.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
+    again = scratch.write(prints.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g"))
     before, n = F.size("back"), F.col("n")
     # side and length of each extension, and the lines that it has more than the one shorter by a line
     itself = F.array(F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("h"), F.slice("lines", before + 1, n).alias("own")))
@@ -79,7 +79,7 @@ def repeats(scratch: Scratch, docs: DataFrame, min_words: int, window: int) -> D
     runs = prints.join(again, "g").select("id", "key", "p", "g", F.inline(F.concat(itself, back, ahead)))
     runs = scratch.write(runs)
     scratch.drop(prints)
-    # a table, so that Spark can split a frequent extension's side of the join
+    # tables, these two, so that Spark can split a frequent gram's or extension's side of the joins
     first = scratch.write(runs.groupBy("g", "to", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("a")).filter("m > 1").drop("m"))
     later = runs.join(first, ["g", "to", "h"]).filter(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("key") == F.col("a.key")) & (F.col("p") == F.col("a.p"))))
     gone = later.select("id", "key", F.explode("own").alias("line")).groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
