@@ -90,7 +90,7 @@ def test_percentiles(spark, n, want):
 
 def test_fixed_chunks(spark):
     df = spark.createDataFrame([("a", "x" * 2000), ("b", "y" * 2001), ("c", "z" * 33047)], "p string, t string")
-    out = chunk.fixed(df, "p", "t").select("path", F.length("content").alias("n")).collect()
+    out = chunk.fixed(df, "p", "t", most=20).select("path", F.length("content").alias("n")).collect()
     assert ("a", 2000) in out and ("b#chunk0", 1500) in out and ("b#chunk1", 501) in out and sum(r["path"][0] == "c" for r in out) == 20
 
 
