@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,8 +127,85 @@ def by_extension(docs: DataFrame, path: str, text: str, parts: dict | None = Non
     return docs.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, f"path string, {SCHEMA}")
 
 
+_QUOTED = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+_FROM = re.compile(r"""^[ \t]*(?:import|export)\b[^;'"]*?(?:\bfrom\s*)?['"]([^'"\n]+)['"]""", re.M)
+_TS = re.compile(
+    r"""\b(?P<kind>class|interface)\s+(?P<type>\w+)(?P<bases>[^{};]*)\{
+    |\bfunction\s*\*?\s*(?P<function>\w+)\s*(?=[(<])
+    |\b(?:const|let|var)\s+(?P<arrow>\w+)\s*(?::[^=;{}]+)?=\s*(?:async\s+)?(?:\([^()]*\)|\w+)\s*(?::[^=;{}]+)?=>
+    |^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<method>\w+)\s*(?:<[^<>;{}]*>)?\((?P<given>[^;{}]*)\)\s*(?::[^;{}=]+)?\{
+    |(?P<call>\w+)\s*\(
+    |(?P<brace>[{}])""",
+    re.M | re.X,
+)
+_ROUND = re.compile(r"[()]")
+_NO_CALL = frozenset("if for while switch catch return function typeof await new super constructor import do else with".split())
+
+
+def typescript_rows(p: str, source: str) -> Iterator[tuple]:
+    """Nodes and edges of TypeScript or JavaScript: a subset by patterns, with comments and strings blanked out.
+
+    Classes, interfaces, functions, named arrow functions, methods; CONTAINS, EXTENDS, IMPLEMENTS, IMPORTS, CALLS.
+    """
+    ends = [m.start() for m in re.finditer("\n", source)]
+    line_at = lambda at: bisect_left(ends, at) + 1
+    yield "node", p, "file", p.rsplit("/", 1)[-1], p, 1, None, None
+    for m in _FROM.finditer(source):
+        yield "edge", None, "IMPORTS", None, p, line_at(m.start()), p, m[1]
+    code = _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    owners, depth, pending = [(p, "file", 0)], 0, None  # id, kind, depth inside its braces
+
+    def node(name: str, kind: str, at: int) -> Iterator[tuple]:
+        own = f"{owners[-1][0]}::{name}"
+        yield "node", own, kind, name, p, line_at(at), None, None
+        yield "edge", None, "CONTAINS", None, p, line_at(at), owners[-1][0], own
+
+    at = 0
+    while m := _TS.search(code, at):
+        at, start = m.end(), m.start(m.lastgroup)
+        if m["kind"]:
+            own = f"{owners[-1][0]}::{m['type']}"
+            yield from node(m["type"], m["kind"], start)
+            for word, kind in (("extends", "EXTENDS"), ("implements", "IMPLEMENTS")):
+                part = re.split(rf"\b{word}\b", m["bases"])
+                for base in re.sub(r"<[^<>]*>", "", re.split(r"\b(?:extends|implements)\b", part[1])[0]).split(",") if len(part) > 1 else ():
+                    yield "edge", None, kind, None, p, line_at(start), own, base.strip().rsplit(".", 1)[-1]
+            depth += 1
+            owners.append((own, m["kind"], depth))
+        elif m["function"] or m["arrow"]:
+            name = m["function"] or m["arrow"]
+            yield from node(name, "function", start)
+            opens = re.compile(r"\s*\{").match(code, at) if m["arrow"] else True
+            pending = (f"{owners[-1][0]}::{name}", "function") if opens else None
+            if m["function"]:  # its parameters come before its braces
+                inside = 0
+                for x in _ROUND.finditer(code, at):
+                    inside += 1 if x[0] == "(" else -1
+                    if inside <= 0:
+                        at = x.end()
+                        break
+        elif m["method"] and owners[-1][1] == "class" and depth == owners[-1][2] and m["method"] not in _NO_CALL - {"constructor"}:
+            yield from node(m["method"], "method", start)
+            depth += 1
+            owners.append((f"{owners[-1][0]}::{m['method']}", "method", depth))
+        elif m["method"] or m["call"]:
+            name, at = m["method"] or m["call"], m.end("method") if m["method"] else at
+            if name not in _NO_CALL and owners[-1][1] != "interface":
+                yield "edge", None, "CALLS", None, p, line_at(m.start("method") if m["method"] else start), owners[-1][0], name
+        elif m["brace"] == "{":
+            depth += 1
+            if pending:
+                owners.append((*pending, depth))
+                pending = None
+        else:
+            if len(owners) > 1 and owners[-1][2] == depth:
+                owners.pop()
+            depth = max(0, depth - 1)
+
+
 def code_graph(docs: DataFrame, path: str, text: str) -> DataFrame:
-    """(kind, id, type, name, path, line, from, to): nodes and CONTAINS, CALLS, IMPORTS, EXTENDS edges of Python texts."""
+    """(kind, id, type, name, path, line, from, to): nodes and edges of Python texts, and of TypeScript and JavaScript by
+    extension (ts, tsx, js, jsx)."""
     import ast
 
     def walk(p: str, source: str) -> Iterator[tuple]:
@@ -165,7 +243,8 @@ def code_graph(docs: DataFrame, path: str, text: str) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame([row for p, t in zip(frame["path"], frame["text"]) if t for row in walk(p, t)], columns=["kind", "id", "type", "name", "path", "line", "from", "to"])
+            by_path = lambda p, t: (typescript_rows if p.rsplit(".", 1)[-1].lower() in ("ts", "tsx", "js", "jsx") else walk)(p, t)
+            yield pd.DataFrame([row for p, t in zip(frame["path"], frame["text"]) if t for row in by_path(p, t)], columns=["kind", "id", "type", "name", "path", "line", "from", "to"])
 
     return docs.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, "kind string, id string, type string, name string, path string, line int, `from` string, `to` string")
 

@@ -159,3 +159,30 @@ def test_polled_changes(spark):
     found = changes.polled(scan(("a", 1, 1), ("b", 1, 1), ("c", 1, 1)), scan(("a", 1, 1), ("b", 2, 1), ("d", 1, 1)))
     assert sorted(map(tuple, found.collect())) == [("b", "modified"), ("c", "deleted"), ("d", "created")]
     assert [tuple(r) for r in changes.polled(None, scan(("a", 1, 1))).collect()] == [("a", "created")]
+
+
+TS = """import { a } from "./lib/x";
+import y from 'y';
+// class Not { }
+export class Foo<T> extends ns.Base<T> implements One, Two {
+  constructor(x: number) { super(); this.run(x); }
+  async run(x: number): Promise<void> {
+    if (x > 1) { helper(x); }
+    const s = "fake(";
+  }
+}
+interface Shape { area(): number; }
+export const go = async (z: string) => { foo.bar(z); }
+function helper(q: {a: number}) { return made(q); }
+go("x");
+"""
+
+
+def test_typescript_graph(spark):
+    df = spark.createDataFrame([("d/m.ts", TS), ("d/n.py", "def f():\n    g()\n"), ("x.tsx", None)], "path string, text string")
+    out = chunk.code_graph(df, "path", "text").collect()
+    nodes = {(r["type"], r["name"], r["line"]) for r in out if r["kind"] == "node" and r["path"] == "d/m.ts"}
+    assert nodes == {("file", "m.ts", 1), ("class", "Foo", 4), ("method", "constructor", 5), ("method", "run", 6), ("interface", "Shape", 11), ("function", "go", 12), ("function", "helper", 13)}
+    edges = {(r["type"], r["from"].split("::")[-1], r["to"]) for r in out if r["kind"] == "edge" and r["path"] == "d/m.ts" and r["type"] != "CONTAINS"}
+    assert edges == {("IMPORTS", "d/m.ts", "./lib/x"), ("IMPORTS", "d/m.ts", "y"), ("EXTENDS", "Foo", "Base"), ("IMPLEMENTS", "Foo", "One"), ("IMPLEMENTS", "Foo", "Two"), ("CALLS", "constructor", "run"), ("CALLS", "run", "helper"), ("CALLS", "go", "bar"), ("CALLS", "helper", "made"), ("CALLS", "d/m.ts", "go")}
+    assert {r["name"] for r in out if r["path"] == "d/n.py" and r["kind"] == "node"} == {"n.py", "f"}
