@@ -278,5 +278,6 @@ UNION ALL SELECT * FROM (SELECT query_id, path, round(score, 9) AS score, source
     "cross_references": f"WITH {_R} SELECT relationship, count(*) AS n FROM related WHERE starts_with(source, 'o') AND starts_with(target, 'c') GROUP BY 1",
     "prepared_export": f"WITH {_CALLS}, e AS (SELECT DISTINCT f, t FROM calls), i AS (SELECT f AS id FROM e UNION SELECT t FROM e), a AS (SELECT f AS id, count(*) AS n, min(t) AS first FROM e GROUP BY 1), b AS (SELECT t AS id, count(*) AS n FROM e GROUP BY 1) SELECT id, least(50, coalesce(a.n, 0))::INT AS calls, least(50, coalesce(b.n, 0))::INT AS called_by, first FROM i LEFT JOIN a USING (id) LEFT JOIN b USING (id)",
     "code_embed_text": f"WITH {_CALLS}, c AS (SELECT f AS id, list_sort(list(DISTINCT t))[1:10] AS l FROM calls GROUP BY 1) SELECT 's' || s_suppkey AS id, md5('function ' || s_name || chr(10) || 'body' || coalesce(chr(10) || 'Calls: ' || array_to_string(l, ', '), '')) AS md5 FROM supplier LEFT JOIN c ON id = 's' || s_suppkey",
+    "chunk_embed_text": "SELECT p_partkey, length('File: ' || p_brand || chr(10) || 'Type: ' || p_type || chr(10) || 'Name: ' || p_name || chr(10) || chr(10) || 'x')::INT AS n FROM part",
     "thoughts": f"SELECT q.vec_id, round({sql.COSINE}, 6) AS similarity, round(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS magnitude FROM embeddings q JOIN embeddings e ON e.vec_id = q.vec_id + 1",
 }
