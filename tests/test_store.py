@@ -186,3 +186,50 @@ def test_typescript_graph(spark):
     edges = {(r["type"], r["from"].split("::")[-1], r["to"]) for r in out if r["kind"] == "edge" and r["path"] == "d/m.ts" and r["type"] != "CONTAINS"}
     assert edges == {("IMPORTS", "d/m.ts", "./lib/x"), ("IMPORTS", "d/m.ts", "y"), ("EXTENDS", "Foo", "Base"), ("IMPLEMENTS", "Foo", "One"), ("IMPLEMENTS", "Foo", "Two"), ("CALLS", "constructor", "run"), ("CALLS", "run", "helper"), ("CALLS", "go", "bar"), ("CALLS", "helper", "made"), ("CALLS", "d/m.ts", "go")}
     assert {r["name"] for r in out if r["path"] == "d/n.py" and r["kind"] == "node"} == {"n.py", "f"}
+
+
+def _embeddings(sf):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{sf}/embeddings.parquet").sort_by("vec_id")
+    return t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+
+
+def test_reason_vector_against_numpy(spark, sf):
+    from tessera import plans
+
+    ids, x = _embeddings(sf)
+    now = x[0].copy()
+    size, before, want = np.linalg.norm(now), np.zeros(len(now)), []
+    for i in range(5):
+        d = ((x - now) ** 2).sum(1)
+        near = np.lexsort((ids, d.round(9)))[:5]
+        w = 1 / (1 + d[near])
+        centre = (w[:, None] * x[near]).sum(0) / w.sum()
+        before = 0.7 * (centre - now) + 0.3 * before
+        after = now + 0.4 * before
+        after = after / np.linalg.norm(after) * size
+        moved, now = np.linalg.norm(after - now), after
+        want.append((i + 1, moved, now @ centre / (np.linalg.norm(now) * np.linalg.norm(centre)), moved < 0.02))
+        if moved < 0.02:
+            break
+    out = sorted(map(tuple, plans.queries()["reason_vector"](spark, sf).collect()))
+    assert len(out) == len(want) and all(a[0] == b[0] and np.allclose(a[1:3], b[1:3], atol=1e-9) and a[3] == b[3] for a, b in zip(out, want))
+
+
+def test_pca_against_numpy(spark, sf):
+    from tessera import plans
+
+    ids, x = _embeddings(sf)
+    c = x - x.mean(0)
+    p = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
+    want = (p - p.min(0)) / (np.ptp(p, axis=0) + 1e-8)
+    out = plans.queries()["grid_pca"](spark, sf).toPandas().sort_values("vec_id")[["x", "y"]].to_numpy()
+    for k in (0, 1):  # a component's sign is free
+        assert np.allclose(out[:, k], want[:, k], atol=1e-5) or np.allclose(out[:, k], 1 - want[:, k], atol=1e-5)
+
+
+def test_lsh_finds_most_neighbours(spark, sf):
+    from tessera import plans
+
+    assert plans.queries()["knn_lsh_recall"](spark, sf).first()["recall"] >= 0.5
