@@ -150,7 +150,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place in the suffix array, the bytes (up to `most`) that its suffix shares with the one before.
 
-    Kasai's pass: going on by a position, at most one byte of what is shared is lost. Blocks of positions go in step.
+    Kasai's pass: going on by a position, at most one byte of what is shared is lost, provided the suffix before goes on
+    to one that is before, too. Suffixes tied beyond the array's depth need not, so their successors start anew. Blocks
+    of positions go in step. The array is sorted by its first `most` bytes at least.
     """
     n = len(data)
     place = np.empty(n, np.int64)
@@ -161,14 +163,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     out = np.zeros(n + 1, np.int32)
     step = max(1, -(-n // LANES))
     lanes = np.arange(0, n, step)
-    shared = np.zeros(len(lanes), np.int64)
+    shared, other = np.zeros(len(lanes), np.int64), np.full(len(lanes), n)
     for i in range(step):
         at = lanes + i
         inside = at < n
         at = np.minimum(at, n - 1)
+        still = place[np.minimum(other + 1, n - 1)] < place[at]
         other = before[at]
-        np.maximum(shared - 1, 0, out=shared)
-        shared[other == n] = 0
+        shared = np.where(still & (other < n), np.maximum(shared - 1, 0), 0)
         open_ = np.flatnonzero(inside & (other < n))
         going = open_
         while len(going):  # eight bytes at a time, then one by one

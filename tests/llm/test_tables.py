@@ -385,6 +385,21 @@ def test_suffix_array_and_kasai(n, letters, length):
     assert suffix_dedup.common_prefixes(data, order, length).tolist() == shared
 
 
+def test_suffix_ranks_of_passages_longer_than_the_order_is_deep():
+    """Two places of a passage may stand in another order than what follows them; blocks of positions are several long."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: rng.integers(97, 101, n).astype(np.uint8)
+    cores = [letters(rng.integers(420, 700)) for _ in range(60)]
+    texts = [np.concatenate([letters(150), core, letters(150)]) for core in cores for _ in range(2)] + [letters(900) for _ in range(60)]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([np.arange(end - len(t), end - 399) for t, end in zip(texts, ends)])
+    raw = np.concatenate(texts).tobytes()
+    number, again = suffix_dedup.repeated(np.frombuffer(raw, np.uint8), starts, 400)
+    count = Counter(raw[p : p + 400] for p in starts)
+    assert len(raw) > 10 * suffix_dedup.LANES and 0 < again.sum() < len(again)
+    assert [count[raw[p : p + 400]] > 1 for p in starts] == again.tolist() and len(set(number.tolist())) == len(count)
+
+
 def test_suffix_merge():
     import pyarrow as pa
 
